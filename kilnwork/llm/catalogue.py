@@ -10,7 +10,9 @@ from kilnwork.plans.registry import Registry
 @cache
 def registry() -> Registry:
     out = Registry()
-    parts = ()
+    from kilnwork.llm import cooccurrence_queries, topn_queries
+
+    parts = (cooccurrence_queries, topn_queries)
 
     for part in parts:
         part.register(out)
