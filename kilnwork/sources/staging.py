@@ -6,6 +6,7 @@ not repeat the steps before it. Files go below ``spark.checkpoint.dir`` and are
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -36,3 +37,14 @@ def stage(df: DataFrame, label: str = "table") -> DataFrame:
     df.write.parquet(path)
     _delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def mounted_dir(spark: SparkSession, label: str) -> str | None:
+    """A folder below the shared one for a task's own scratch files, as a path; None where it isn't mounted as one."""
+    scheme, _, rest = shared_dir(spark).rpartition("://") if "://" in shared_dir(spark) else ("file", "", shared_dir(spark).removeprefix("file:"))
+    if scheme not in ("", "file"):
+        return None
+    path = f"{rest}/{label}-{uuid.uuid4().hex}"
+    os.makedirs(path, exist_ok=True)
+    _delete_on_exit(spark, f"file:{path}")
+    return path
