@@ -10,8 +10,8 @@ from kilnwork.plans.registry import Registry
 @cache
 def registry() -> Registry:
     out = Registry()
-    from kilnwork.plans import packed
+    from kilnwork.plans import packed, relational
 
-    for part in (packed,):
+    for part in (relational, packed):
         part.register(out)
     return out
