@@ -10,8 +10,8 @@ from kilnwork.plans.registry import Registry
 @cache
 def registry() -> Registry:
     out = Registry()
-    from kilnwork.plans import packed, relational
+    from kilnwork.plans import packed, relational, similarity
 
-    for part in (relational, packed):
+    for part in (relational, similarity, packed):
         part.register(out)
     return out
