@@ -16,14 +16,8 @@ def largest_groups(rows: DataFrame, group: str, n: int) -> list:
     return [r[0] for r in rows.groupBy(group).agg(F.count("*").alias("n")).orderBy(F.desc("n"), group).limit(n).collect()] if n else []
 
 
-def common_counts(rows: DataFrame, group: str, item: str, least: int) -> DataFrame:
-    """a < b, n: pairs of items in at least `least` common groups. rows: distinct (group, item), both set."""
-    masked = min(least - 1, 40)
-    large = largest_groups(rows, group, masked)
-    bit = F.coalesce(*[F.when(F.col(group) == g, F.lit(1 << i)) for i, g in enumerate(large)], F.lit(0)).cast("long")
-    enough = rows.groupBy(item).agg(F.count("*").alias("d"), F.bit_or(bit).alias("bits")).where(F.col("d") >= least).select(item, "bits")
-    others = rows.where(~F.col(group).isin(large)) if large else rows
-    kept = others.join(enough, item).select(F.col(group).alias("g"), F.struct(F.col(item).alias("i"), "bits").alias("p"))
+def expanded(kept: DataFrame) -> DataFrame:
+    """Rows (g, p) to the pairs p < q of structs within every g, without ever holding a whole group: blocks and pairs of blocks."""
     sizes = kept.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1")
     cut = kept.join(sizes, "g", "left").withColumn("block", F.pmod(F.xxhash64("p"), F.coalesce("blocks", F.lit(1))))
     blocks = cut.groupBy("g", "block", F.col("blocks").isNotNull().alias("cut")).agg(F.sort_array(F.collect_list("p")).alias("items"))
@@ -34,7 +28,17 @@ def common_counts(rows: DataFrame, group: str, item: str, least: int) -> DataFra
         .select(F.explode("l.items").alias("p"), F.col("r.items").alias("right")).select("p", F.explode("right").alias("q"))
         .select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
     )
+    return within.unionByName(across)
+
+
+def common_counts(rows: DataFrame, group: str, item: str, least: int) -> DataFrame:
+    """a < b, n: pairs of items in at least `least` common groups. rows: distinct (group, item), both set."""
+    large = largest_groups(rows, group, min(least - 1, 40))
+    bit = F.coalesce(*[F.when(F.col(group) == g, F.lit(1 << i)) for i, g in enumerate(large)], F.lit(0)).cast("long")
+    enough = rows.groupBy(item).agg(F.count("*").alias("d"), F.bit_or(bit).alias("bits")).where(F.col("d") >= least).select(item, "bits")
+    others = rows.where(~F.col(group).isin(large)) if large else rows
+    kept = others.join(enough, item).select(F.col(group).alias("g"), F.struct(F.col(item).alias("i"), "bits").alias("p"))
     return (
-        within.unionByName(across).groupBy(F.col("p.i").alias("a"), F.col("q.i").alias("b"), F.col("p.bits").bitwiseAND(F.col("q.bits")).alias("both"))
+        expanded(kept).groupBy(F.col("p.i").alias("a"), F.col("q.i").alias("b"), F.col("p.bits").bitwiseAND(F.col("q.bits")).alias("both"))
         .agg(F.count("*").alias("n")).select("a", "b", (F.col("n") + F.bit_count("both")).alias("n")).where(F.col("n") >= least)
     )
