@@ -121,7 +121,7 @@ _PARTICLE = rf"(?:(?:de|van|von|der|den|da|di|del|la|le|al|bin|DE|VAN|VON|AL){_S
 _INITIAL = rf"[{_U}]\."
 #: Given name, with initials, particles and family names; or a family name, a comma and a given name.
 _NAME = (
-    rf"(?:{_PARTICLE}{_HYPHEN},{_S}+{_HYPHEN}(?![\w'’\-])|{_INITIAL}{_S}*(?:{_INITIAL}{_S}*)?{_PARTICLE}{_HYPHEN}|{_HYPHEN}(?:{_S}+{_INITIAL}(?=\W|$))?(?:{_S}+{_PARTICLE}{_HYPHEN}){{0,2}}|{_INITIAL}{_S}?{_INITIAL})"
+    rf"(?:{_PARTICLE}{_HYPHEN},{_S}+{_HYPHEN}(?![\w'’\-])|{_INITIAL}{_S}*(?:{_INITIAL}{_S}*)?{_PARTICLE}{_HYPHEN}|{_HYPHEN}(?:{_S}+{_INITIAL}(?=\W|$))?(?:{_S}+{_PARTICLE}{_HYPHEN}(?:{_S}+{_PARTICLE}{_HYPHEN}(?={_S}*(?:[,.;:<&!)/\r\n]|$)))?)?|{_INITIAL}{_S}?{_INITIAL})"
 )
 _ONE = rf"(?:{_HYPHEN}(?:{_S}+{_INITIAL})?(?:{_S}+{_PARTICLE}{_HYPHEN})?|{_INITIAL}{_S}*{_PARTICLE}{_HYPHEN})"
 _LINK = r"(?!(?:of|and|from|was|the|split|called|for|twice|promised|left|you|y|por|pour|für|mon|meine|is|in|on|at|to)\b)"
@@ -140,7 +140,7 @@ _LEFT = rf"(?:(?:(?<![\w])(?i:{'|'.join(map(_SPACES, _BEFORE))})){_S}*|(?:^|\n)(
 _TITLES = rf"(?:(?i:(?<!\w){_TITLE})\.?{_S}+(?:(?i:and|und|y|et|&){_S}+(?i:{_TITLE})\.?{_S}+)?)"
 NAME_LEFT = re.compile(rf"(?:{_LEFT}{_TITLES}?|{_TITLES})(?P<name>{_NAME})")
 #: Lower-case names: taken where the right side bounds them surely, else if a part is a known name.
-_SURE = rf",?{_S}*(?:/{_S}*|<|of{_S}+|from{_S}+|y mi correo es{_S}+|, licence{_S}+)?\0|{_S}+(?:was{_S}+wonderful|the{_S}+evening|twice{_S}+about|for{_S}+six|promised{_S}+a|left{_S}+an{_S}+umbrella|and{_S}+you{_S}+can|y{_S}+mi{_S}+correo|por{_S}+la{_S}+mesa|pour{_S}+la{_S}+table|für{_S}+den{_S}+Tisch)|[,;]{_S}+(?:tel|id|mon{_S}+adresse|meine{_S}+adresse|licence)\b"
+_SURE = rf"{_S}*(?:\r?\n|<br{_S}*/?>)+(?:{_S}|>)*\0|,?{_S}*(?:/{_S}*|<|of{_S}+|from{_S}+|y mi correo es{_S}+|, licence{_S}+)?\0|{_S}+(?:was{_S}+wonderful|the{_S}+evening|twice{_S}+about|for{_S}+six|promised{_S}+a|left{_S}+an{_S}+umbrella|and{_S}+you{_S}+can|y{_S}+mi{_S}+correo|por{_S}+la{_S}+mesa|pour{_S}+la{_S}+table|für{_S}+den{_S}+Tisch)|[,;]{_S}+(?:tel|id|mon{_S}+adresse|meine{_S}+adresse|licence)\b"
 _LOWER_WORD = r"[a-zß-öø-ÿ][a-zß-öø-ÿ'’\-]+"
 NAME_LEFT_LOWER = re.compile(
     rf"(?:{_LEFT}{_TITLES}?|{_TITLES})(?P<name>{_LOWER})(?:(?P<sure>(?i:(?={_SURE})))|(?={_S}*(?:[,;&\"/<(!]|\.(?:\s|$)|\r?\n|$|{_S}[A-Z])))"
@@ -151,7 +151,6 @@ NAME_STRONG_LOWER = re.compile(
 NAME_RIGHT_LOWER = re.compile(rf"(?<![\w'’\-])(?P<name>{_LINK}{_LOWER_WORD}{_S}+{_LINK}{_LOWER_WORD})(?={_S}+and{_S}+{_ONE}{_S}+split{_S}+the|{_S}+(?:called{_S}+from{_S}+\0|split{_S}+the{_S}+bill))")
 NAME_RIGHT = re.compile(rf"(?P<name>{_NAME})(?={_S}+(?i:called{_S}+from|split{_S}+the|never{_S}+answered|promised{_S}+a|left{_S}+an{_S}+umbrella))")
 NAME_PAIR = re.compile(rf"(?P<name>{_ONE}){_S}+(?:and|AND){_S}+(?P<other>{_ONE})(?={_S}+(?i:split{_S}+the))")
-_RIGHT_WORDS = re.compile(rf"(?i:called|split|never|promised|left{_S}+an)")
 _NO_NAME = frozenset(
     """the a an this that these those my our your his her their its it i you he she we they who sir madam customer guest guests team all everyone friend friends
     manager chef host server staff duty kitchen menu order table unit flat street road lane not no mr mrs ms dr sr sra and or of in on at to for from by with only
@@ -161,38 +160,35 @@ _NO_NAME = frozenset(
 _BUSINESS = re.compile(rf"(?:['’]s|{_S}+(?:&|and){_S}+(?:Sons|Co|Daughters)|{_S}+(?:{_CAP}{_S}+)?(?:House|Grill|Bakery|Deli|Tavern|Diner|Kitchen|Cafe|Café|Bar|Shop|Inn|Bistro))\b", re.I)
 
 
-def _names(text: str, given: frozenset[str], known: re.Pattern | None):
+def _names(text: str, given: frozenset[str], known: re.Pattern | None, near: Near):
     """Spans of names, the better told first."""
-    right = _RIGHT_WORDS.search(text) is not None
-    for pattern in (NAME_PAIR, NAME_RIGHT, NAME_LEFT) if right else (NAME_LEFT,):
-        for m in pattern.finditer(text):
-            for group in ("other", "name"):
-                if group in pattern.groupindex:
-                    around = m[0][: m.start(group) - m.start()]
-                    shouted = m[group].isupper() and len(around) > 3 and around.isupper()  # a whole sentence in capitals
-                    if not shouted or any(w in given for w in re.split(r"[\s,\-]+", m[group].lower())):
-                        yield from _trimmed(text, m.start(group), m.end(group), given)
-    for m in NAME_LEFT_LOWER.finditer(text):
+    for patterns, windows in (((NAME_PAIR, NAME_RIGHT), near.right), ((NAME_LEFT,), near.left)):
+        for pattern in patterns:
+            for m in _in(pattern, text, windows):
+                for group in ("other", "name"):
+                    if group in pattern.groupindex:
+                        around = m[0][: m.start(group) - m.start()]
+                        shouted = m[group].isupper() and len(around) > 3 and around.isupper()  # a whole sentence in capitals
+                        if not shouted or any(w in given for w in re.split(r"[\s,\-]+", m[group].lower())):
+                            yield from _trimmed(text, m.start(group), m.end(group), given)
+    for m in _in(NAME_LEFT_LOWER, text, near.left):
         words = m["name"].split()
         if not any(w in _NO_NAME for w in words) and (m["sure"] is not None or words[0].split("-")[0] in given or words[-1].split("-")[0] in given):
             yield m.span("name")
-    for m in NAME_STRONG_LOWER.finditer(text):
-        if not any(w in _NO_NAME for w in m["name"].split()):
-            yield m.span("name")
-    if right:
-        for m in NAME_RIGHT_LOWER.finditer(text):
+    for pattern, windows in ((NAME_STRONG_LOWER, near.left), (NAME_RIGHT_LOWER, near.right)):
+        for m in _in(pattern, text, windows):
             if not any(w in _NO_NAME for w in m["name"].split()):
                 yield m.span("name")
     if known is not None:
-        for m in known.finditer(text):
+        for m in _in(known, text, near.known):
             if _BUSINESS.match(text, m.end()) or text[max(0, m.start() - 1)] in "@_":
                 continue
-            if m[0].isupper() and re.match(rf"{_S}+[{_U}]+\b", text[m.end() :]) and m[0].split()[-1].lower() not in given:
+            if m[0].isupper() and re.match(rf"{_S}+[{_U}]+\b", text[m.end() : m.end() + 40]) and m[0].split()[-1].lower() not in given:
                 continue  # a sentence in capitals
-            yield from _trimmed(text, m.start(), m.end(), given, strict=True)
+            yield from _trimmed(text, m.start(), m.end(), given)
 
 
-def _trimmed(text: str, start: int, end: int, given: frozenset[str], strict: bool = False):
+def _trimmed(text: str, start: int, end: int, given: frozenset[str]):
     """The span without words that aren't names at its end; nothing if its first word isn't one."""
     value = text[start:end]
     words = re.findall(r"[^\s,]+", value)
@@ -222,40 +218,110 @@ def _known_names(given: list[str]) -> re.Pattern | None:
     )
 
 
-_DIGITS = re.compile(r"\d")
-#: At least five digits or capitals with little between them.
-_LONG = re.compile(r"\d(?:[^\w\n]{0,4}[\dA-Z]){4}|[A-Z](?:[^\w\n]?\d){5}", re.I)
+# --- where to look ------------------------------------------------------------
+#: Words near which a name may stand: before it, and behind it. One pass of an automaton finds them all.
+_LEFT_HINTS = """name server thanks told under delivery ask belong holder host addressed booked kudos signed guest dear manager regards sincerely chef nombre
+    gracias pregunte llamo atentamente saludo demandez merci appelle cordialement fragen heiße tisch danke grüßen -- mr. mrs ms. miss dr. prof sr. sra srta herr
+    frau mme mlle monsieur madame doña don""".split() + ["au nom"]
+_RIGHT_HINTS = ["called", "split", "never", "promised", "left"]
+#: No value is longer than this, and none stands farther from its hint.
+_REACH = 160
+_RUN = re.compile(r"\d+(?:[^\w\n]{0,4}\d+)*")
+
+
+class Near:
+    """Windows of a text (start, end) that can hold finds: of e-mail addresses, of numbers and addresses, and of names by their hints."""
+
+    def __init__(self, text: str, automaton) -> None:
+        low = text.lower()
+        whole = [(0, len(text))]
+        self.mail: list = []
+        self.numbers: list = []
+        self.places: list = []
+        self.left: list = []
+        self.right: list = []
+        self.known: list = []
+        if automaton is None or len(low) != len(text):  # some letters change their length
+            self.mail = self.numbers = self.places = self.left = self.right = self.known = whole
+            return
+        size = len(text)
+
+        def add(windows: list, start: int, end: int) -> None:
+            start, end = max(0, start), min(size, end)
+            if windows and start <= windows[-1][1]:
+                windows[-1] = (min(windows[-1][0], start), max(windows[-1][1], end))
+            else:
+                windows.append((start, end))
+
+        for end, (kind, length) in automaton.iter(low):
+            at = end - length + 1
+            if kind == "g":
+                if text[at].isupper() and not (at and low[at - 1].isalnum()) and not (end + 1 < size and low[end + 1].isalnum()):
+                    add(self.known, at - _REACH // 2, end + _REACH)
+            elif kind == "l":
+                add(self.left, at - 24, end + _REACH)
+            elif kind == "r":
+                add(self.right, at - _REACH, end + 40)
+            else:
+                add(self.mail, at - _REACH, end + _REACH)
+        for m in _RUN.finditer(text):
+            a, b = m.span()
+            sign = text[a - 1] if a else ""
+            if b - a >= 5 or text[a - 1 : b + 1].strip(" .,;:!?()\n$#").isalnum() and b - a >= 2:
+                add(self.numbers, a - 12, b + 24)
+            if sign not in ("$", "#", ":") and text[b : b + 1] != ":":
+                add(self.places, a - _REACH // 2, b + _REACH)
+
+
+def _in(pattern: re.Pattern, text: str, windows: list):
+    """Matches within windows; what stands before a window is seen by look-behinds."""
+    for start, end in windows:
+        yield from pattern.finditer(text, start, end)
+
+
+def hints(given: list[str]):
+    """The automaton of hint words and known given names; None where the library isn't there, and whole texts are searched."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return None
+    out = ahocorasick.Automaton()
+    words = [(w, "m") for w in ("@", "＠", "﹫", "dot", "(at)", "[at]", "( at", "[ at")] + [(w, "l") for w in _LEFT_HINTS] + [(w, "r") for w in _RIGHT_HINTS]
+    seen = {w for w, _ in words}
+    words += [(g.lower(), "g") for g in given if len(g.lower()) == len(g) and g.lower() not in seen]
+    for w, kind in words:
+        out.add_word(w, (kind, len(w)))
+    out.make_automaton()
+    return out
 
 
-def find(text: str, given: frozenset[str] = frozenset(), known: re.Pattern | None = None) -> list[tuple[int, int, str]]:
+def find(text: str, given: frozenset[str] = frozenset(), known: re.Pattern | None = None, automaton=None) -> list[tuple[int, int, str]]:
     """Places of personal values in a text as (start, end, kind), in order, none within another."""
     taken: list[tuple[int, int, str]] = []
+    near = Near(text, automaton)
 
     def add(start: int, end: int, kind: str) -> None:
         if start < end and all(end <= a or b <= start for a, b, _ in taken):
             taken.append((start, end, kind))
 
-    digits = _DIGITS.search(text) is not None
-    if "@" in text or "＠" in text or "﹫" in text or re.search(r"(?i)\bdot\b|[\[(] ?at ?[\])]", text):
-        for m in EMAIL.finditer(text):
-            add(*m.span(), "email")
-    if digits:
-        for m in ADDRESS.finditer(text):
-            add(*m.span(), "address")
-    if digits and _LONG.search(text):
-        for m in PHONE_ABROAD.finditer(text):
+    for m in _in(EMAIL, text, near.mail):
+        add(*m.span(), "email")
+    for m in _in(ADDRESS, text, near.places):
+        add(*m.span(), "address")
+    for m in _in(PHONE_ABROAD, text, near.numbers):
+        add(*m.span(), "phone")
+    for m in _in(IDENTITY, text, near.numbers):
+        before = text[max(0, m.start() - 24) : m.start()]
+        if not _OTHERS_NUMBER.search(before):
+            add(*m.span(), "phone" if _PHONE_LABEL.search(before) and m[0].isdigit() else "identity")
+    for m in _in(PHONE, text, near.numbers):
+        if not _OTHERS_NUMBER.search(text[max(0, m.start() - 24) : m.start()]):
             add(*m.span(), "phone")
-        for m in IDENTITY.finditer(text):
-            before = text[max(0, m.start() - 24) : m.start()]
-            if not _OTHERS_NUMBER.search(before):
-                add(*m.span(), "phone" if _PHONE_LABEL.search(before) and m[0].isdigit() else "identity")
-        for m in PHONE.finditer(text):
-            if not _OTHERS_NUMBER.search(text[max(0, m.start() - 24) : m.start()]):
-                add(*m.span(), "phone")
-    rest = text
-    for a, b, _ in taken:
-        rest = rest[:a] + "\0" * (b - a) + rest[b:]
-    for span in _names(rest, given, known):
+    rest, at = [], 0
+    for a, b, _ in sorted(taken):
+        rest += [text[at:a], "\0" * (b - a)]
+        at = b
+    for span in _names("".join([*rest, text[at:]]), given, known, near):
         add(*span, "name")
     return sorted(taken)
 
@@ -337,11 +403,11 @@ def personal(df: DataFrame, keep: list[str], text: str, names: DataFrame | None,
     out = f"{fields}, found array<struct<kind: string, start_pos: int, end_pos: int, placeholder: string>>" + (", redacted string" if with_text else "")
 
     def search(batches):
-        known = _known_names(given)
+        known, automaton = _known_names(given), hints(given)
         for pdf in batches:
             found, redacted = [], []
             for t in pdf["__text"]:
-                spans = find(t, lower, known) if t else []
+                spans = find(t, lower, known, automaton) if t else []
                 marks = [{"kind": k, "start_pos": a, "end_pos": b, "placeholder": pseudonym(t[a:b], k, key)} for a, b, k in spans]
                 found.append(marks)
                 if with_text and t is not None:
