@@ -103,9 +103,9 @@ _EN_TAIL = (
 ADDRESS = re.compile(
     "|".join(
         [
-            rf"(?<![\w$€£#.,/:\-])(?:(?:Flat|Unit|Apt|Apartment|Suite){_S}\w{{1,5}},{_S})?\d{{1,5}}(?:-?[A-Z])?{_S}+(?:[NSEW]\.?{_S}+)?(?!each\b|by\b|near\b|the\b|of\b){_CAP}(?:{_S}+(?!each\b|near\b|the\b|of\b){_CAP})?{_S}+{_EN_SUFFIX}\b\.?{_EN_TAIL}",
+            rf"(?<![\w$€£#.,/:\-‐-―−])(?<!\d )(?<!/ )(?:(?:Flat|Unit|Apt|Apartment|Suite){_S}\w{{1,5}},{_S})?\d{{1,5}}(?:-?[A-Z])?{_S}+(?:[NSEW]\.?{_S}+)?(?!each\b|by\b|near\b|the\b|of\b){_CAP}(?:{_S}+(?!each\b|near\b|the\b|of\b){_CAP})?{_S}+{_EN_SUFFIX}\b\.?{_EN_TAIL}",
             rf"(?<!\w)(?:(?:Calle|Avda|Av|Avenida|Plaza|Pza|Paseo|Camino|Ronda|Carrera)\b\.?{_S}|C/{_S}?|P\.º{_S}?)(?:de{_S}(?:la{_S}|los{_S}|las{_S})?|del{_S})?{_CAP}(?:{_S}{_CAP})?,?{_S}(?:n\.?º{_S}?|núm\.{_S}?)?\d{{1,4}}\b(?:,{_S}\d{{1,2}}\.?º(?:{_S}\w)?)?(?:,{_S}\d{{5}}{_S}{_TOWN})?",
-            rf"(?<![\w$€£#.,/:\-])\d{{1,4}}(?:{_S}(?:bis|ter|quater))?,?{_S}(?:rue|bd|boulevard|avenue|av\.|impasse|place|chemin|quai|allée|cours|route|square){_S}(?:(?:de{_S}la|du|des|de|d['’]|de{_S}l['’]){_S}?)?{_CAP}(?:,{_S}\d{{5}}{_S}{_TOWN})?",
+            rf"(?<![\w$€£#.,/:\-‐-―−])(?<!\d )(?<!/ )\d{{1,4}}(?:{_S}(?:bis|ter|quater))?,?{_S}(?:rue|bd|boulevard|avenue|av\.|impasse|place|chemin|quai|allée|cours|route|square){_S}(?:(?:de{_S}la|du|des|de|d['’]|de{_S}l['’]){_S}?)?{_CAP}(?:,{_S}\d{{5}}{_S}{_TOWN})?",
             rf"(?<!\w)[^\W\d_]{{3,}}(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer){_S}\d{{1,4}}{_S}?[a-z]?\b(?:,{_S}\d{{5}}{_S}{_TOWN})?",
             rf"(?<!\w)(?:Am|Im|An{_S}der|An{_S}dem|Zum|Zur|Auf{_S}dem|In{_S}der){_S}{_CAP}{_S}\d{{1,4}}[a-z]?\b(?!{_S}?(?:Uhr|Personen|Euro|€))(?:,{_S}\d{{5}}{_S}{_TOWN})?",
         ]
