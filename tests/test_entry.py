@@ -31,8 +31,9 @@ def test_query(spark, tables, name):
     if sql is None:
         got.collect()
         return
-    want = tables.execute(sql).fetch_arrow_table()
-    assert sorted(got.columns) == sorted(want.column_names)
-    order = sorted(want.column_names)
-    text = lambda row: tuple(str(row[c]) for c in order)
-    assert sorted(map(text, got.collect())) == sorted(map(text, want.to_pylist()))
+    result = tables.execute(sql)
+    names = [c[0] for c in result.description]
+    want = [dict(zip(names, row, strict=True)) for row in result.fetchall()]
+    assert sorted(got.columns) == sorted(names)
+    text = lambda row: tuple(str(row[c]) for c in sorted(names))
+    assert sorted(map(text, got.collect())) == sorted(map(text, want))
