@@ -21,12 +21,19 @@ _CLOSES = rf"(?=\s*(?:[{_PLACE}/\]]|$))"
 _DOUBLE = rf'{_OPENS}"(?:[^"\\]|\\.|"")*"{_CLOSES}'
 _SINGLE = rf"{_OPENS}'(?:[^'\\]|\\.|''|'(?!\s*(?:[{_PLACE}/\]]|$)))*'{_CLOSES}"
 _QUOTED = f"{_DOUBLE}|{_SINGLE}"
-#: Private-use characters: a hidden quoted value, a cut between values, the bounds of a quoted value.
-_HIDDEN, _CUT, _FROM, _TO = "\ue000", "\ue001", "\ue002", "\ue003"
+#: Characters of delimiters, and private-use twins that stand for them inside quoted values.
+_MARKS = ",;|\t\r\n，；、•/"
+_TWINS = "".join(chr(0xE010 + i) for i in range(len(_MARKS)))
+#: Private-use characters: in place of a quoted value, and around one that is put back.
+_HIDDEN, _FROM, _TO = "\ue000", "\ue001", "\ue002"
+
+
+#: White space of any kind (fixed values).
+_BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(_BLANKS))
 
 
 def _unquoted(c: Column) -> Column:
@@ -54,7 +61,14 @@ def _pieces(skeleton: Column, names: tuple[str, ...]) -> Column:
 
 def _signature(skeleton: Column) -> Column:
     """Names of the candidates that occur outside quotes, as one string."""
-    return F.concat_ws(" ", *[F.when(skeleton.rlike(x), F.lit(n)) for n, x in DELIMITERS.items()])
+    plain = {n: x.removeprefix("\\") for n, x in DELIMITERS.items() if len(x.removeprefix("\\")) == 1 and n != "tab"} | {"tab": "\t"}
+    has = lambda n, x: skeleton.contains(plain[n]) if n in plain else skeleton.rlike(x)
+    return F.concat_ws(" ", *[F.when(has(n, x), F.lit(n)) for n, x in DELIMITERS.items()])
+
+
+def _skeleton(body: Column) -> Column:
+    """The body with every quoted value hidden; only a field with quotes is searched."""
+    return F.when(body.contains('"') | body.contains("'"), F.regexp_replace(body, _QUOTED, _HIDDEN)).otherwise(body)
 
 
 def infer_delimiters(df: DataFrame, value: str, source: str | None = None) -> DataFrame:
@@ -71,7 +85,7 @@ def infer_delimiters(df: DataFrame, value: str, source: str | None = None) -> Da
     rows = (
         df.select(own.alias("source"), _body(F.col(value)).alias("body")).where(F.col("body") != "")
         .groupBy("source", "body").agg(F.count("*").alias("n"))
-        .withColumn("skeleton", F.regexp_replace("body", _QUOTED, _HIDDEN))
+        .withColumn("skeleton", _skeleton(F.col("body")))
         .withColumn("signature", _signature(F.col("skeleton")))
     )
     rows = stage(rows, "packed")
@@ -124,24 +138,26 @@ def split_packed(df: DataFrame, value: str, keep: list[str], source: str | None
     own = F.col(source).cast("string") if source else F.lit("")
     chosen = stage(infer_delimiters(df, value, source), "delimiters")
     sets = [r[0] for r in chosen.select("delimiters").distinct().limit(2 ** len(DELIMITERS)).collect()]
-    body = F.col("__body")
-
-    def cut(names: str) -> Column:
-        """The body with a cut at each delimiter outside quotes and the quoted values restored between bounds."""
-        some = "|".join(DELIMITERS[n] for n in names.split(" ")) if names else None
-        plain = lambda s: F.regexp_replace(s, some, _CUT) if some else s
-        # split keeps what stands between quoted spans: the odd parts are quoted
-        quoted = F.regexp_extract_all(body, F.lit(f"({_QUOTED})"), F.lit(1))
-        between = F.split(plain(F.regexp_replace(body, _QUOTED, _HIDDEN)), _HIDDEN)
-        whole = F.transform(between, lambda s, i: F.when(i < F.size(quoted), F.concat(s, F.lit(_FROM), _unquoted(F.get(quoted, i)), F.lit(_TO))).otherwise(s))
-        return F.array_join(whole, "")
-
     rows = (
-        df.select(*keep, own.alias("__source"), _body(F.col(value)).alias("__body")).where(body != "")
-        .withColumn("__signature", _signature(F.regexp_replace(body, _QUOTED, _HIDDEN)))
+        df.select(*keep, own.alias("__source"), _body(F.col(value)).alias("__body")).where(F.col("__body") != "")
+        .withColumn("__skeleton", _skeleton(F.col("__body"))).withColumn("__signature", _signature(F.col("__skeleton")))
         .join(chosen.select(F.col("source").alias("__source"), F.col("signature").alias("__signature"), "delimiters"), ["__source", "__signature"], "left")
     )
-    marked = F.coalesce(*[F.when(F.coalesce(F.col("delimiters"), F.lit("")) == s, cut(s)) for s in dict.fromkeys([*sets, ""])])
-    strip = lambda p: F.when(p.startswith(_FROM) & p.endswith(_TO), _strip(F.regexp_replace(p, f"[{_FROM}{_TO}]", ""))).otherwise(F.regexp_replace(p, f"[{_FROM}{_TO}]", ""))
-    values = F.filter(F.transform(F.split(marked, _CUT), lambda p: strip(_strip(p))), lambda p: p != "")
-    return rows.select(*keep, F.posexplode(values).alias(pos, out))
+    skeleton = F.col("__skeleton")
+
+    def pieces(field: Column) -> Column:
+        cuts = [F.when(F.col("delimiters") == s, F.split(field, "|".join(DELIMITERS[n] for n in s.split(" ")))) for s in sets if s]
+        return F.transform(F.coalesce(*cuts, F.array(field)), _strip)
+
+    def shown(piece: Column) -> Column:
+        """A stripped piece with its quoted values bare again; one that is a quoted value alone loses its own outer blanks."""
+        bare = F.translate(piece, _TWINS + _FROM + _TO, _MARKS)
+        return F.when(piece.startswith(_FROM) & piece.endswith(_TO), _strip(bare)).otherwise(bare)
+
+    plain = rows.where(~skeleton.contains(_HIDDEN)).select(*keep, F.filter(pieces(skeleton), lambda p: p != "").alias("__values"))
+    # quoted values go back in with twins in place of delimiters, so that no cut falls into them
+    guarded = F.transform(F.regexp_extract_all("__body", F.lit(f"({_QUOTED})"), F.lit(1)), lambda q: F.concat(F.lit(_FROM), F.translate(_unquoted(q), _MARKS, _TWINS), F.lit(_TO)))
+    filled = F.array_join(F.zip_with(F.split(skeleton, _HIDDEN), guarded, lambda b, q: F.concat(b, F.coalesce(q, F.lit("")))), "")
+    quoted = rows.where(skeleton.contains(_HIDDEN)).select(*keep, F.filter(F.transform(pieces(filled), shown), lambda p: p != "").alias("__values"))
+    values = plain.unionByName(quoted)
+    return values.select(*keep, F.posexplode("__values").alias(pos, out))

@@ -75,6 +75,12 @@ def test_empty_table_and_very_long_field(spark):
     assert split_packed(empty, "packed", ["id"]).collect() == []
     long = [["Pubs", "Cafés"] * 20_000]
     assert split(spark, [packed(long[0], ",")]) == expect(long)
+    quoted = [["Soup, Hot", '6" Subs'] * 10_000]
+    assert split(spark, [packed(quoted[0], "csv")]) == expect(quoted)
+
+
+def test_quotes_within_a_value_belong_to_it(spark):
+    assert split(spark, ['6" Subs, Pubs', '"  Pubs "', "Kids' Wear, 'Soup, Hot'"]) == [(0, 0, '6" Subs'), (0, 1, "Pubs"), (1, 0, "Pubs"), (2, 0, "Kids' Wear"), (2, 1, "Soup, Hot")]
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
