@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Texts of the report formats (fixed values).
+CANDIDATES, FREQUENT = "Candidates: \n", "Frequent Itemsets:\n"
+AFTER_SINGLES, AFTER_LARGER = " \n \n", "\n \n"
+COMPARISON = "Task2,%d \nTask3,%d\nIntersection,%d"
+ESTIMATE_COLUMNS = ("Time", "Ground Truth", "Estimation")
+TAG_TOTAL = "The number of tweets with tags from the beginning: %d\n"
+
 
 def json_report(df: DataFrame, path: str, **fields: Column) -> None:
     """One JSON object: aggregates of a small df, by name."""
@@ -38,15 +45,15 @@ def itemset_lines(sets: DataFrame) -> DataFrame:
 
 def itemset_report(candidates: DataFrame, frequent: DataFrame) -> DataFrame:
     """value: the whole report, candidates and then frequent itemsets, a line for each size with a blank line behind it."""
-    block = lambda d: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("size", "line"))), lambda s: F.concat(s["line"], F.when(s["size"] == 1, " \n \n").otherwise("\n \n"))), "")
+    block = lambda d: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("size", "line"))), lambda s: F.concat(s["line"], F.when(s["size"] == 1, AFTER_SINGLES).otherwise(AFTER_LARGER))), "")
     c = itemset_lines(candidates).agg(block(candidates).alias("c"))
     f = itemset_lines(frequent).agg(block(frequent).alias("f"))
-    return c.join(F.broadcast(f)).select(F.concat(F.lit("Candidates: \n"), "c", F.lit("Frequent Itemsets:\n"), "f").alias("value"))  # one row each
+    return c.join(F.broadcast(f)).select(F.concat(F.lit(CANDIDATES), "c", F.lit(FREQUENT), "f").alias("value"))  # one row each
 
 
 def comparison_lines(counts: DataFrame) -> DataFrame:
     """value: the comparison of two miners, from itemsets.agreement."""
-    return counts.select(F.format_string("Task2,%d \nTask3,%d\nIntersection,%d", "first", "second", "both").alias("value"))
+    return counts.select(F.format_string(COMPARISON, "first", "second", "both").alias("value"))
 
 
 def tuple_lines(df: DataFrame, *names: str, weight: str | None = None) -> DataFrame:
@@ -62,11 +69,12 @@ def cluster_map(df: DataFrame, path: str) -> None:
 
 def append_estimates(truth: DataFrame, estimate: DataFrame, path: str) -> None:
     """Append Time,Ground Truth,Estimation rows of windows: for foreachBatch."""
-    both = truth.join(estimate, "start").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("Time"), F.col("users").alias("Ground Truth"), F.col("estimate").alias("Estimation"))
+    time, exact, guess = ESTIMATE_COLUMNS
+    both = truth.join(estimate, "start").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias(time), F.col("users").alias(exact), F.col("estimate").alias(guess))
     both.write.mode("append").option("header", True).csv(path)
 
 
 def tag_snapshot(ranked: DataFrame, total: int) -> DataFrame:
     """value: the number of items so far, then `tag : n` lines by falling n and tag, from sketch.top_dense."""
     lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), "tag"))), lambda s: F.concat(s["tag"], F.lit(" : "), (-s["k"]).cast("string"))), "\n")
-    return ranked.agg(F.concat(F.lit(f"The number of tweets with tags from the beginning: {total}\n"), lines, F.lit("\n")).alias("value"))
+    return ranked.agg(F.concat(F.lit(TAG_TOTAL % total), lines, F.lit("\n")).alias("value"))
