@@ -28,18 +28,24 @@ def top_per_group(df: DataFrame, group: str, item: str, score: str, n: int = 5,
     limit: number of filled groups that are broadcast at most (kilnwork.sources.bounds by default).
     """
     value = F.col(score).cast("double") + F.lit(0.0)
-    rows = df.select(F.col(group).alias("g"), F.col(item).alias("i"), value.alias("s")).where("g is not null and i is not null and s is not null and not isnan(s)")
+
+    def scored(of: DataFrame) -> DataFrame:
+        return of.select(F.col(group).alias("g"), F.col(item).alias("i"), value.alias("s")).where("g is not null and i is not null and s is not null and not isnan(s)")
+
+    rows = scored(df)
     edges = rows.approxQuantile("s", [1 - b for b in bands], 0.02) if bands else []
     edges = sorted(set(edges), reverse=True)
     order = Window.partitionBy("g").orderBy(F.desc("s"), "i")
     done, filled, waiting = [], None, None
     for k in range(len(edges) + 1):
         low, high = (edges[k] if k < len(edges) else None), (edges[k - 1] if k else None)
-        band = rows
+        # on the column as it is stored, so that the scan sees the range; -0.0 equals 0.0 there, too
+        within = df
         if low is not None:
-            band = band.where(F.col("s") >= low)
+            within = within.where(F.col(score) >= low)
         if high is not None:
-            band = band.where(F.col("s") < high)
+            within = within.where(F.col(score) < high)
+        band = scored(within)
         if filled is not None:
             number = filled.count()
             if number:
