@@ -20,7 +20,8 @@ def _capacities(spark: SparkSession, folder: str) -> dict[str, int]:
 
 def p8_pack(spark: SparkSession, folder: str, kind: str = "medium") -> DataFrame:
     sizes = sized(table(spark, folder, "documents"), "doc_id", "text")
-    return pack(sizes, "doc_id", "n_tokens", _capacities(spark, folder)[kind]).withColumn("container_kind", F.lit(kind))
+    capacity = _capacities(spark, folder)[kind]
+    return pack(sizes, "doc_id", "n_tokens", capacity).withColumns({"container_kind": F.lit(kind), "capacity_tokens": F.lit(capacity)})
 
 
 def p8_filling(spark: SparkSession, folder: str) -> DataFrame:
