@@ -83,7 +83,7 @@ def register(out: Registry) -> None:
 
     @q("girvan_newman")
     def _(s, d):
-        return G.sized(G.girvan_newman(_edges(s, d), most=6))
+        return G.sized(G.girvan_newman(_edges(s, d)))
 
     @q("vector_distance", "WITH " + _PT + """, ce AS (SELECT label, list(v ORDER BY dim) c FROM (SELECT label, dim, avg(v) v FROM (SELECT label, unnest(x) v, generate_subscripts(x, 1) dim FROM pt) GROUP BY 1, 2) GROUP BY 1)
         SELECT id vec_id, round(list_distance(x, c), 4) dist FROM pt JOIN ce USING (label)""")

@@ -15,6 +15,8 @@ from kilnwork.operators import profiles as T
 from kilnwork.operators import ratings as C
 from kilnwork.operators import similarity as S
 from kilnwork.operators import sketch as H
+from kilnwork.plans import graphs as P
+from kilnwork.plans.catalogue import registry
 from kilnwork.streaming import streams as X
 
 
@@ -134,6 +136,26 @@ def test_distributed_split_agrees_with_the_local_one(spark, monkeypatch):
     assert sorted(map(tuple, G.girvan_newman(edges).collect())) == local
 
 
+def test_split_goes_on_until_no_edge_is_left(spark, monkeypatch):
+    """The best partition of this graph comes with the seventh of nine removals."""
+    ends = "ab am bc bd bf bk bn cg cj ck de dh dl fi fl kl".split()
+    edges = spark.createDataFrame([tuple(e) for e in ends], "a string, b string")
+    monkeypatch.setattr(P, "_edges", lambda s, d: edges)
+    query = registry().queries["girvan_newman"]
+    local = sorted(map(tuple, query(spark, "").collect()))
+    monkeypatch.setattr(G, "LOCAL_WORK", 0)
+    assert sorted(map(tuple, query(spark, "").collect())) == local
+
+
+def test_betweenness_by_blocks():
+    draw, near = random.Random(4), {}
+    for _ in range(300):
+        x, y = draw.sample(range(160), 2)
+        near.setdefault(x, set()).add(y)
+        near.setdefault(y, set()).add(x)
+    assert G.block_betweenness(near) == pytest.approx(G.local_betweenness(near))
+
+
 def test_path_counts_split_credit(spark):
     chain = [("s", "a"), ("s", "b"), ("a", "c"), ("b", "c"), ("c", "d"), ("d", "e"), ("s", "x"), ("x", "y"), ("y", "z"), ("z", "e")]
     edges = spark.createDataFrame([tuple(sorted(e)) for e in chain], "a string, b string")
