@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kilnwork.operators.graph import connected_components
 from kilnwork.sources.staging import stage
 
 #: Floor of a variance: an axis without spread can't divide by zero.
@@ -81,15 +82,36 @@ def _renumbered(assigned: DataFrame, by: int) -> DataFrame:
     return assigned.withColumn("cluster", F.col("cluster") + by)
 
 
-def chunked_clusters(points: DataFrame, chunk: str, k: int, tight: float = 2.0, loose: float = 3.0) -> tuple[DataFrame, DataFrame]:
+def _by_size(assigned: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Clusters of more than `most` points, and the points of the others without a cluster."""
+    sizes = assigned.groupBy("cluster").agg(F.count("*").alias("n"))
+    sized = stage(assigned.join(F.broadcast(sizes), "cluster"), "sized")  # a row a cluster
+    return sized.where(F.col("n") > most).select("id", "features", "cluster"), sized.where(F.col("n") <= most).select("id", "features", F.lit(None).cast("int").alias("cluster"))
+
+
+def merged(assigned: DataFrame, close: float) -> DataFrame:
+    """Clusters whose centers are nearer than close * sqrt(d), directly or through others, become one, under the least number."""
+    c = stage(summaries(assigned).select("cluster", "center"), "centers")
+    l, r = c.select(F.col("cluster").alias("a"), F.col("center").alias("x")), c.select(F.col("cluster").alias("b"), F.col("center").alias("y"))
+    near = distance(F.col("x"), F.col("y")) < F.lit(close) * F.sqrt(F.size("x").cast("double"))
+    pairs = stage(l.join(F.broadcast(r), (F.col("a") < F.col("b")) & near).select("a", "b"), "near")  # a row a cluster
+    if not pairs.limit(1).count():
+        return assigned
+    joined = connected_components(pairs).select(F.col("id").alias("cluster"), "component")
+    return assigned.join(F.broadcast(joined), "cluster", "left").select("id", "features", F.coalesce("component", "cluster").alias("cluster"))
+
+
+def chunked_clusters(points: DataFrame, chunk: str, k: int, tight: float = 1.0, loose: float = 2.5, close: float = 1.5) -> tuple[DataFrame, DataFrame]:
     """Discard / compression / retained clustering, chunk by chunk in order of the column `chunk`.
 
     Returns (rounds, final). rounds: round_id, clusters and points in the discard set, in the compression set, and retained
-    points, after each chunk; the points add up to those seen. final: id, cluster (-1 for outliers). The first chunk is clustered by
-    k-means into 3 k clusters, its small ones (at most 2 points) are retained, the others' points form k clusters. Points of a later
-    chunk join the nearest discard cluster within `tight` spreads, else the nearest compression cluster within `loose`, else they
-    are retained; more than 3 k retained points are clustered again, groups of more than 2 becoming compression clusters. A chunk is
-    assigned as a whole against the summaries at its start. At the end compression clusters join their nearest discard cluster.
+    points, after each chunk; the points add up to those seen. final: id, cluster (-1 for outliers). Of the first chunk 100 k points
+    (those of least hash) are clustered by k-means into 5 k clusters; the points of its larger ones (more than 3) form k clusters,
+    the n others are clustered into n / 2, of which those of more than one point become compression clusters; single points are
+    retained. Other points join the nearest discard cluster within `tight` spreads, else the nearest compression cluster within
+    `loose`, else they are retained; more than 5 k retained points are clustered again in one round, groups of more than 2 becoming
+    compression clusters. After each chunk compression clusters closer than `close` are merged. A chunk is assigned as a whole
+    against the summaries at its start. At the end compression clusters join their nearest discard cluster.
     """
     spark = points.sparkSession
     chunks = [r[0] for r in points.select(chunk).distinct().orderBy(chunk).collect()]  # one value a file
@@ -99,25 +121,31 @@ def chunked_clusters(points: DataFrame, chunk: str, k: int, tight: float = 2.0,
     for at, value in enumerate(chunks):
         new = points.where(F.col(chunk) == value).select(F.col("id").cast("long").alias("id"), "features")
         if not at:
-            rough = stage(kmeans(new, 3 * k).select("id", "features", "cluster"), "rough")
+            new = stage(new.withColumn("nth", F.xxhash64("id")), "first")
+            sample = stage(new.orderBy("nth", "id").limit(100 * k).select("id", "features"), "sample")
+            new = new.select("id", "features").join(F.broadcast(sample.select("id")), "id", "left_anti")  # 100 k rows
+            rough = stage(kmeans(sample, 5 * k, 30).select("id", "features", "cluster"), "rough")
             sizes = rough.groupBy("cluster").agg(F.count("*").alias("n"))
-            inner = rough.join(F.broadcast(sizes), "cluster").select("id", "features", "n")  # 3 k rows
-            retained = stage(inner.where("n <= 2").select("id", "features", F.lit(None).cast("int").alias("cluster")), "retained")
-            discard = stage(kmeans(inner.where("n > 2").select("id", "features"), k).select("id", "features", "cluster"), "discard")
-        else:
-            first = stage(admit(new, summaries(discard), tight), "admitted")
-            rest = first.where("cluster is null").select("id", "features")
-            second = stage(admit(rest, summaries(compressed), loose), "admitted") if compressed.limit(1).count() else rest.withColumn("cluster", F.lit(None).cast("int"))
-            discard = stage(discard.unionByName(first.where("cluster is not null").select("id", "features", "cluster")), "discard")
-            compressed = stage(compressed.unionByName(second.where("cluster is not null").select("id", "features", "cluster")), "compressed")
-            retained = stage(retained.unionByName(second.where("cluster is null").select("id", "features", "cluster")), "retained")
-        if retained.count() > 3 * k:
-            again = stage(_renumbered(kmeans(retained.select("id", "features"), k).select("id", "features", "cluster"), fresh), "again")
+            inner = stage(rough.join(F.broadcast(sizes), "cluster").select("id", "features", "n"), "inner")  # 5 k rows
+            discard = stage(kmeans(inner.where("n > 3").select("id", "features"), k, 30).select("id", "features", "cluster"), "discard")
+            outer = inner.where("n <= 3").select("id", "features")
+            groups = -(-outer.count() // 2)
+            if groups:
+                apart = stage(_renumbered(kmeans(outer, groups).select("id", "features", "cluster"), fresh), "apart")
+                fresh += groups
+                compressed, retained = _by_size(apart, 1)
+        first = stage(admit(new, summaries(discard), tight), "admitted")
+        rest = first.where("cluster is null").select("id", "features")
+        second = stage(admit(rest, summaries(compressed), loose), "admitted") if compressed.limit(1).count() else rest.withColumn("cluster", F.lit(None).cast("int"))
+        discard = stage(discard.unionByName(first.where("cluster is not null").select("id", "features", "cluster")), "discard")
+        compressed = stage(compressed.unionByName(second.where("cluster is not null").select("id", "features", "cluster")), "compressed")
+        retained = stage(retained.unionByName(second.where("cluster is null").select("id", "features", "cluster")), "retained")
+        if retained.count() > 5 * k:
+            again = stage(_renumbered(kmeans(retained.select("id", "features"), k, 1).select("id", "features", "cluster"), fresh), "again")
             fresh += k
-            sizes = again.groupBy("cluster").agg(F.count("*").alias("n"))
-            grouped = again.join(F.broadcast(sizes), "cluster")  # k rows
-            compressed = stage(compressed.unionByName(grouped.where("n > 2").select("id", "features", "cluster")), "compressed")
-            retained = stage(grouped.where("n <= 2").select("id", "features", F.lit(None).cast("int").alias("cluster")), "retained")
+            larger, retained = _by_size(again, 2)
+            compressed = compressed.unionByName(larger)
+        compressed = stage(merged(compressed, close), "compressed")
         count = lambda d, a, b: d.agg(F.count_distinct("cluster").alias(a), F.count("*").alias(b))
         rounds.append(
             count(discard, "nof_cluster_discard", "nof_point_discard").join(count(compressed, "nof_cluster_compression", "nof_point_compression"))
@@ -129,6 +157,6 @@ def chunked_clusters(points: DataFrame, chunk: str, k: int, tight: float = 2.0,
     if compressed.limit(1).count():
         centers = summaries(compressed).select(F.col("cluster").alias("id"), F.col("center").alias("features"))
         target = assign(centers, summaries(discard).select("cluster", "center")).select(F.col("id").alias("old"), F.col("cluster").alias("to"))
-        moved = compressed.join(F.broadcast(target), F.col("cluster") == F.col("old")).select("id", "features", F.col("to").alias("cluster"))  # few rows
+        moved = compressed.join(F.broadcast(target), F.col("cluster") == F.col("old")).select("id", "features", F.coalesce("to", F.lit(-1)).alias("cluster"))  # few rows
     final = discard.unionByName(moved).unionByName(retained.withColumn("cluster", F.lit(-1)))
     return reduce(DataFrame.unionByName, rounds), final.select("id", "cluster")

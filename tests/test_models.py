@@ -193,6 +193,22 @@ def test_chunked_clusters_keep_all_points(blobs):
     assert len(got) == 181 and got[999] == -1
 
 
+def test_near_compression_clusters_merge(spark):
+    """Centers at 0, 2, 4 and 20: with a reach of 1.5 * sqrt(2) the first three join through the middle one."""
+    rows = [(10 * c + i, [x + d, 0.0], c) for c, x in enumerate([0.0, 2.0, 4.0, 20.0]) for i, d in enumerate([-0.1, 0.1])]
+    got = K.merged(spark.createDataFrame(rows, "id long, features array<double>, cluster int"), 1.5)
+    assert {(r["id"] // 10, r["cluster"]) for r in got.collect()} == {(0, 0), (1, 0), (2, 0), (3, 3)}
+
+
+def test_outliers_of_the_first_chunk_are_clustered(spark):
+    """Two far pairs become compression clusters, a far single point is retained."""
+    draw = random.Random(2)
+    rows = [(i, [100.0 * (i % 2) + draw.gauss(0, 0.3), draw.gauss(0, 0.3)], 0) for i in range(60)]
+    rows += [(-5, [5e3, 5e3], 0), (-4, [-5e3, 5e3], 0), (-3, [9e5, 9e5], 0), (-2, [5e3, 5001.0], 0), (-1, [-5e3, 5001.0], 0)]
+    rounds, _ = K.chunked_clusters(spark.createDataFrame(rows, "id long, features array<double>, chunk int"), "chunk", 2)
+    assert tuple(rounds.first()) == (1, 2, 60, 2, 4, 1)
+
+
 def test_bloom_has_no_false_negatives(spark):
     first = spark.createDataFrame([(f"city {i}",) for i in range(300)] + [("",), (None,), ("Phönix",)], "city string")
     bits, size = H.bloom_bits(first, "city")
