@@ -35,29 +35,36 @@ def _grown(rows: DataFrame, sets: DataFrame, size: int, support: int) -> DataFra
     grown = l.join(r, "h").where(F.element_at("l", -1) < F.element_at("r", -1)).select(F.concat("l", F.slice("r", size, 1)).alias("items"))
     subsets = grown.select("items", F.explode(F.transform("items", lambda x: F.array_remove(F.col("items"), x))).alias("sub"))
     whole = subsets.join(sets.select(F.col("items").alias("sub")), "sub", "left_semi").groupBy("items").agg(F.count("*").alias("k")).where(F.col("k") == size + 1).select("items")
+    return _supported(rows, whole, size + 1, support)
+
+
+def _supported(rows: DataFrame, sets: DataFrame, size: int, support: int) -> DataFrame:
+    """items, n of those of the given sets (array column items, all of `size`) that are in at least `support` baskets."""
     frequency = rows.groupBy("item").agg(F.count("*").alias("n"))
-    order = whole.select("items", F.explode("items").alias("item")).join(frequency, "item").groupBy("items").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "item"))), lambda s: s["item"]).alias("by"))
+    order = sets.select("items", F.explode("items").alias("item")).join(frequency, "item").groupBy("items").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "item"))), lambda s: s["item"]).alias("by"))
     found = order.withColumn("item", F.get("by", F.lit(0))).join(rows, "item").select("items", "by", "basket")
-    for i in range(1, size + 1):
+    for i in range(1, size):
         found = found.withColumn("item", F.get("by", F.lit(i))).join(rows, ["item", "basket"], "left_semi").drop("item")
     return found.groupBy("items").agg(F.count("*").alias("n")).where(F.col("n") >= support)
 
 
-def frequent_itemsets(rows: DataFrame, support: int, max_size: int = 3) -> DataFrame:
-    """items (sorted array), size, n of all itemsets in at least `support` baskets, up to max_size items."""
+def frequent_itemsets(rows: DataFrame, support: int, max_size: int | None = None) -> DataFrame:
+    """items (sorted array), size, n of all itemsets in at least `support` baskets: of every size, or of up to max_size items."""
     rows = stage(rows, "baskets")
     one = frequent_items(rows, support).select(F.array("item").alias("items"), "n")
     levels = [one]
-    if max_size > 1:
+    if max_size is None or max_size > 1:
         levels.append(stage(frequent_pairs(rows, support).select(F.array("a", "b").alias("items"), "n"), "pairs"))
-    for size in range(2, max_size):
+    size = 1
+    while len(levels) > 1 and (max_size is None or len(levels) < max_size) and levels[-1].limit(1).count():
+        size += 1
         kept = rows.join(levels[-1].select(F.explode("items").alias("item")).distinct(), "item", "left_semi")
         levels.append(stage(_grown(kept, levels[-1], size, support), "itemsets"))
     return reduce(DataFrame.unionByName, levels).select("items", F.size("items").alias("size"), "n")
 
 
-def partitioned_candidates(rows: DataFrame, support: int, chunks: int) -> DataFrame:
-    """Stage one: itemsets of one or two items that reach the scaled support in some chunk of baskets: items, size.
+def partitioned_candidates(rows: DataFrame, support: int, chunks: int, max_size: int | None = None) -> DataFrame:
+    """Stage one: itemsets (of up to max_size items, if given) that reach the scaled support in some chunk of baskets: items, size.
 
     A basket's chunk is (first + last character of its key) mod chunks, so the candidates don't depend on Spark's partitions.
     The local threshold is floor(support * baskets of the chunk / all baskets), at least 1. Chunks without candidates add none.
@@ -66,15 +73,29 @@ def partitioned_candidates(rows: DataFrame, support: int, chunks: int) -> DataFr
     sizes = rows.groupBy("chunk").agg(F.count_distinct("basket").alias("part"))
     total = sizes.agg(F.sum("part").alias("total"))
     limits = stage(sizes.join(F.broadcast(total)).select("chunk", F.greatest(F.floor(F.lit(support) * F.col("part") / F.col("total")), F.lit(1)).alias("least")), "limits")
-    one = rows.groupBy("chunk", "item").agg(F.count("*").alias("n")).join(F.broadcast(limits), "chunk").where("n >= least")
-    singles = one.select(F.array("item").alias("items")).distinct()
-    pairs = []
+    found = []
     for chunk, least in limits.collect():  # one row a chunk
-        pairs.append(common_counts(rows.where(F.col("chunk") == chunk).select("basket", "item"), "basket", "item", int(least)).select(F.array("a", "b").alias("items")))
-    return reduce(DataFrame.unionByName, [singles, *pairs]).distinct().select("items", F.size("items").alias("size"))
+        found.append(frequent_itemsets(rows.where(F.col("chunk") == chunk).select("basket", "item"), int(least), max_size).select("items"))
+    if not found:
+        return rows.select(F.array("item").alias("items")).limit(0).select("items", F.size("items").alias("size"))
+    return reduce(DataFrame.unionByName, found).distinct().select("items", F.size("items").alias("size"))
+
+
+def partitioned_itemsets(rows: DataFrame, support: int, chunks: int) -> DataFrame:
+    """items, size, n of all itemsets in at least `support` baskets, by both stages: the chunks' candidates are counted over all baskets.
+
+    A set that falls short of the scaled support in every chunk falls short of the support, so none is lost.
+    """
+    rows = stage(rows, "baskets")
+    candidates = stage(partitioned_candidates(rows, support, chunks), "candidates")
+    sizes = sorted(r[0] for r in candidates.select("size").distinct().collect())  # one row a size
+    if not sizes:
+        return candidates.select("items", "size", F.lit(0).cast("long").alias("n"))
+    counted = [_supported(rows, candidates.where(F.col("size") == size).select("items"), size, support) for size in sizes]
+    return reduce(DataFrame.unionByName, counted).select("items", F.size("items").alias("size"), "n")
 
 
-def fp_growth(rows: DataFrame, support: int, max_size: int = 3) -> DataFrame:
+def fp_growth(rows: DataFrame, support: int, max_size: int | None = None) -> DataFrame:
     """The same itemsets by FP-growth (items of each set sorted)."""
     from pyspark.ml.fpm import FPGrowth
 
@@ -88,7 +109,8 @@ def fp_growth(rows: DataFrame, support: int, max_size: int = 3) -> DataFrame:
     model = FPGrowth(itemsCol="items", minSupport=max(support - 0.5, 0) / held, minConfidence=1.0).fit(arrays)
     del total
     sets = model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("n"))
-    return sets.where(F.size("items") <= max_size).select("items", F.size("items").alias("size"), "n")
+    kept = sets if max_size is None else sets.where(F.size("items") <= max_size)
+    return kept.select("items", F.size("items").alias("size"), "n")
 
 
 def agreement(one: DataFrame, other: DataFrame) -> DataFrame:

@@ -133,7 +133,7 @@ def register(out: Registry) -> None:
 
     @q("frequent_itemsets_3", _ITEMSETS + "SELECT concat_ws(' ', a, b, c) items, 3 size, n FROM three")
     def _(s, d):
-        return _joined(I.frequent_itemsets(R.baskets(table(s, d, "ub_sample_data"), 1), SUPPORT).where("size = 3"))
+        return _joined(I.frequent_itemsets(R.baskets(table(s, d, "ub_sample_data"), 1), SUPPORT, 3).where("size = 3"))
 
     @q(
         "frequent_itemsets_prefiltered",
@@ -141,7 +141,11 @@ def register(out: Registry) -> None:
     )
     def _(s, d):
         rows = R.larger_baskets(R.baskets(table(s, d, "ub_sample_data"), 1), 10)
-        return _joined(I.frequent_itemsets(rows, SUPPORT))
+        return _joined(I.frequent_itemsets(rows, SUPPORT, 3))
+
+    @q("frequent_itemsets_prefiltered_all")
+    def _(s, d):
+        return _joined(I.frequent_itemsets(R.larger_baskets(R.baskets(table(s, d, "ub_sample_data"), 1), 10), SUPPORT))
 
     @q(
         "son_candidates",
@@ -153,13 +157,26 @@ def register(out: Registry) -> None:
         SELECT item items, 1 size FROM one UNION ALL SELECT concat_ws(' ', a, b), 2 FROM two""",
     )
     def _(s, d):
-        return _joined(I.partitioned_candidates(R.baskets(table(s, d, "ub_sample_data"), 1), 4 * SUPPORT, 4))
+        return _joined(I.partitioned_candidates(R.baskets(table(s, d, "ub_sample_data"), 1), 4 * SUPPORT, 4, 2))  # singles and pairs, as its SQL has them
+
+    @q("son_itemsets")
+    def _(s, d):
+        return _joined(I.partitioned_itemsets(R.baskets(table(s, d, "ub_sample_data"), 1), 4 * SUPPORT, 4))
 
     @q("fpgrowth_itemsets", _ITEMSETS + _ALL_SETS)
+    def _(s, d):
+        return _joined(I.fp_growth(R.baskets(table(s, d, "ub_sample_data"), 1), SUPPORT, 3))
+
+    @q("fpgrowth_itemsets_all")
     def _(s, d):
         return _joined(I.fp_growth(R.baskets(table(s, d, "ub_sample_data"), 1), SUPPORT))
 
     @q("miner_intersection", _ITEMSETS + f", a AS ({_ALL_SETS}) SELECT count(*) AS \"first\", count(*) AS \"second\", count(*) AS \"both\" FROM a")
+    def _(s, d):
+        rows = R.baskets(table(s, d, "ub_sample_data"), 1)
+        return I.agreement(I.frequent_itemsets(rows, SUPPORT, 3), I.fp_growth(rows, SUPPORT, 3))
+
+    @q("miner_intersection_all")
     def _(s, d):
         rows = R.baskets(table(s, d, "ub_sample_data"), 1)
         return I.agreement(I.frequent_itemsets(rows, SUPPORT), I.fp_growth(rows, SUPPORT))

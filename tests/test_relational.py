@@ -90,6 +90,17 @@ def test_miners_agree(baskets, rows):
     assert rows(I.agreement(I.frequent_itemsets(baskets, 3), I.fp_growth(baskets, 3))) == [(6, 6, 6)]
 
 
+def test_itemsets_of_every_size(spark, rows):
+    """Three baskets of five items and some noise: all 31 subsets are frequent, by every miner."""
+    data = [(f"k{i}", x) for i in range(3) for x in "abcde"] + [("m", "a"), ("m", "f"), ("n", "f"), ("o", "b")]
+    df = spark.createDataFrame(data, "basket string, item string")
+    got = rows(I.frequent_itemsets(df, 3), "items", "size", "n")
+    assert len(got) == 31 and max(size for _, size, _ in got) == 5
+    assert rows(I.fp_growth(df, 3), "items", "size", "n") == got
+    for chunks in (1, 2):
+        assert rows(I.partitioned_itemsets(df, 3, chunks), "items", "size", "n") == got
+
+
 def test_common_counts_with_large_groups(spark, rows):
     """Groups of over a thousand items, masked and blockwise, against brute force."""
     import random
