@@ -32,9 +32,11 @@ def _positive(sums: DataFrame, least: int) -> DataFrame:
     return sums.where((F.col("n") >= least) & (over > 0)).select("a", "b", F.round(r, 6).alias("sim"))
 
 
-def correlation_model(rows: DataFrame, item: str, by: str, least: int = 3) -> DataFrame:
+def correlation_model(rows: DataFrame, item: str, by: str, least: int = 3, similar: float = 0.0) -> DataFrame:
     """a < b, sim: items with a positive Pearson correlation over at least `least` common raters, means over these alone.
 
+    With `similar`, only pairs whose sets of raters have at least that Jaccard similarity; all of them are found.
+
     The least - 1 largest raters never make pairs: each item carries its rating by them, which completes the sums of the pairs
     that the others make.
     """
@@ -52,6 +54,10 @@ def correlation_model(rows: DataFrame, item: str, by: str, least: int = 3) -> Da
         both = F.col(f"p{m}").isNotNull() & F.col(f"q{m}").isNotNull()
         px, py = F.when(both, F.col(f"p{m}")).otherwise(0), F.when(both, F.col(f"q{m}")).otherwise(0)
         sums = sums.withColumns({"n": F.col("n") + both.cast("long"), "sx": F.col("sx") + px, "sy": F.col("sy") + py, "sxx": F.col("sxx") + px * px, "syy": F.col("syy") + py * py, "sxy": F.col("sxy") + px * py})
+    if similar:
+        sizes = rows.groupBy(item).agg(F.count("*").alias("d"))
+        sums = sums.where(F.col("n") >= least).join(sizes.select(F.col(item).alias("a"), F.col("d").alias("da")), "a").join(sizes.select(F.col(item).alias("b"), F.col("d").alias("db")), "b")
+        sums = sums.where(F.col("n") / (F.col("da") + F.col("db") - F.col("n")) >= similar)
     return _positive(sums, least)
 
 

@@ -71,6 +71,11 @@ def _user_model(rows):
     return stage(C.correlation_of(near.select("id1", "id2"), rows, "user", "business"), "user_model")
 
 
+def _whole_user_model(rows):
+    """Without banding: every pair of users with 3 common businesses and a Jaccard similarity of 0.01."""
+    return stage(C.correlation_model(rows, "user", "business", similar=0.01), "user_model")
+
+
 def _friends(rows):
     pairs = common_counts(rows, "business", "user", 3)
     edges = pairs.select(F.col("a").alias("friend"), F.col("b").alias("user")).unionByName(pairs.select(F.col("b").alias("friend"), F.col("a").alias("user")))
@@ -125,9 +130,18 @@ def register(out: Registry) -> None:
         SELECT u "user", b business, round(stars::DOUBLE, 4) stars FROM o WHERE """
     )
 
-    def blend(s, d):
+    @q("cf_user_model_all")
+    def _(s, d):
+        return _whole_user_model(_rows(s, d))
+
+    @q("cf_user_predict_all")
+    def _(s, d):
         rows = _rows(s, d)
-        return C.hybrid(_pairs(s, d), rows, _item_model(rows), _user_model(rows), C.averages(rows, "user"), C.averages(rows, "business"), _friends(rows))
+        return C.predictions(_pairs(s, d), rows, _whole_user_model(rows), "user", "business")
+
+    def blend(s, d, model=_user_model):
+        rows = _rows(s, d)
+        return C.hybrid(_pairs(s, d), rows, _item_model(rows), model(rows), C.averages(rows, "user"), C.averages(rows, "business"), _friends(rows))
 
     @q("hybrid_predict", hybrid_sql + "seen")
     def _(s, d):
@@ -136,3 +150,11 @@ def register(out: Registry) -> None:
     @q("hybrid_cold_start", hybrid_sql + "NOT seen")
     def _(s, d):
         return blend(s, d).where("not seen").drop("seen")
+
+    @q("hybrid_predict_all")
+    def _(s, d):
+        return blend(s, d, _whole_user_model).where("seen").drop("seen")
+
+    @q("hybrid_cold_start_all")
+    def _(s, d):
+        return blend(s, d, _whole_user_model).where("not seen").drop("seen")

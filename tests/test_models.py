@@ -16,6 +16,7 @@ from kilnwork.operators import ratings as C
 from kilnwork.operators import similarity as S
 from kilnwork.operators import sketch as H
 from kilnwork.plans import graphs as P
+from kilnwork.plans import ratings as Q
 from kilnwork.plans.catalogue import registry
 from kilnwork.streaming import streams as X
 
@@ -97,6 +98,21 @@ def test_item_model_and_predictions(spark, rated):
     assert ("nobody", "b1") not in got
 
 
+def test_user_model_holds_all_similar_pairs(spark, monkeypatch):
+    """Users of 3 common businesses among 30 each (Jaccard 0.053), which 16 bands of 2 hardly ever meet."""
+    draw = random.Random(6)
+    data = {(f"u{u}", f"b{b}"): draw.randint(1, 5) for u in range(20) for b in [0, 1, 2, *range(100 + 27 * u, 127 + 27 * u)]}
+    rows = C.ratings(spark.createDataFrame([(*k, float(v)) for k, v in data.items()], "user_id string, business_id string, stars double"))
+    monkeypatch.setattr(Q, "_rows", lambda s, d: rows)
+    brute = {}
+    for a, b in combinations(sorted({u for u, _ in data}), 2):
+        if (r := round(_pearson(*([data[u, f"b{i}"] for i in range(3)] for u in (a, b))), 6)) > 0:
+            brute[a, b] = r
+    got = {(r["a"], r["b"]): r["sim"] for r in registry().queries["cf_user_model_all"](spark, "").collect()}
+    assert got == pytest.approx(brute)
+    assert C.correlation_model(rows, "user", "business", similar=0.06).collect() == []
+
+
 def test_hybrid_cold_start(spark, rated):
     data, rows = rated
     model = C.correlation_model(rows, "business", "user")
