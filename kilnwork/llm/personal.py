@@ -1,30 +1,35 @@
 """Personal information inside free text: found, told apart by kind, and replaced by typed, linked pseudonyms.
 
 E-mail addresses, phone numbers, identity numbers and street addresses are told by their formats, with the usual signs or words and
-unusual characters in their place; names by what stands around them (titles, greetings, labels, phrases), by being a known given
-name with a family name, and by their own form. What lies inside another value is no value of its own: of overlapping finds the
-earlier kind in `KINDS` wins.
-
-A find is replaced by `<kind:pseudonym>`. Numbers and identity numbers are permuted within their format by a keyed Feistel cipher
-over their digits and letters, signs staying in place, so that equal values (also written with other signs) get equal pseudonyms
-in all documents, different values different ones, and the key's holder can take them back. Values without a fixed format
-(names, addresses, e-mail addresses) get a keyed hash. Everything else in a text stays as it is.
+unusual characters in their place; payment cards and account numbers by their check digits, too; names by what stands around them
+(`personal_names`); dates of birth (or, if asked for, all dates) by their label. What lies inside another value is no value
+of its own.
+
+A text is searched as a whole, but each pattern only starts where it can: one pass of an automaton finds the words and signs that
+a value needs, one of digits the numbers. From there patterns match as far as they reach, so a value is found wherever it stands
+and however long it is. The automaton's library is required.
+
+A find is replaced by `<kind:pseudonym>`. Numbers, identity numbers and dates are permuted within their format by a keyed Feistel
+cipher (`pseudonyms`), signs staying in place, so that equal values (also written with other signs) get equal pseudonyms in all
+documents, different values different ones, valid numbers stay valid, and the key's holder can take them back. Values without a
+fixed format (names, addresses, e-mail addresses) get a keyed hash. Everything else in a text stays as it is.
 """
 
 from __future__ import annotations
 
-import hmac
 import re
-from hashlib import blake2b
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "identity", "phone", "address", "name")
+from kilnwork.llm.personal_names import Names
+from kilnwork.llm.pseudonyms import DATE, date_parts, iban_valid, luhn, pseudonym
+
+KINDS = ("email", "identity", "phone", "address", "name", "date")
 #: A list of known names is read to the driver only up to this length.
 MOST_NAMES = 200_000
 
-_S = r"[ \t ]"  # a blank within a line
+_S = r"[ \t\xa0]"  # a blank within a line
 _DASH = r"[-‐-―−]"
 _SEP = rf"(?:{_S}?[./]{_S}?|{_DASH}|{_S}{{1,2}})"
 
@@ -74,7 +79,7 @@ PHONE = re.compile(
 IDENTITY = re.compile(
     "|".join(
         [
-            rf"{_NOT_IN_NUMBER}[0-4]{_S}?\d\d{_S}?\d\d{_S}?\d[\dAB]{_S}?\d{{3}}{_S}?\d{{3}}{_S}?\d\d{_END}",  # French social security
+            rf"{_NOT_IN_NUMBER}[0124]{_S}?\d\d{_S}?\d\d{_S}?\d[\dAB]{_S}?\d{{3}}{_S}?\d{{3}}{_S}?\d\d{_END}",  # French social security
             rf"{_NOT_IN_NUMBER}\d{{3}}({_DASH}|[.  ])\d\d\2\d{{4}}{_END}".replace(r"\2", r"(?P=s)").replace(f"({_DASH}|", f"(?P<s>{_DASH}|"),  # social security
             rf"{_NOT_IN_NUMBER}[A-Z]{{2}}{_S}?\d\d{_S}?\d\d{_S}?\d\d{_S}?[A-Z]{_END}",  # national insurance
             rf"{_NOT_IN_NUMBER}[A-Z]{{2}}\d{{7}}{_END}",  # passport
@@ -83,14 +88,28 @@ IDENTITY = re.compile(
             rf"{_NOT_IN_NUMBER}[XYZ]{_DASH}?\d{{7}}{_DASH}?[A-Z]{_END}",  # NIE
             rf"{_NOT_IN_NUMBER}[A-Z]\d\d{_S}?[A-Z]\d{{5}}{_S}?[A-Z]{_END}",  # Ausweis
             rf"{_NOT_IN_NUMBER}\d{{2}}/\d{{3}}/\d{{5}}{_END}",  # Steuernummer
-            rf"{_NOT_IN_NUMBER}\d{{9}}{_END}",
         ]
     ),
     re.I,
 )
+#: Nine digits without signs are an identity number only near a word that says so.
+NINE = re.compile(rf"{_NOT_IN_NUMBER}\d{{9}}{_END}")
+_LABEL = re.compile(
+    r"\b(?:ssn|itin|social|tax|steuer\w*|ids?|identi\w*|passport|pasaporte|passeport|reisepass|licen[cs]e|licencia|permis\w*|führerschein|cards?|carte|tarjeta|document\w*|ausweis\w*|pièce|sécurité|seguridad|dni|nie|nif|nino|insurance)\b",
+    re.I,
+)
+#: Payment cards by network prefix and check digit, account numbers by check digits.
+_NETWORK = re.compile(r"4(?:\d{12}|\d{15}|\d{18})|5[1-5]\d{14}|2[2-7]\d{14}|3[47]\d{13}|3(?:0[0-5]|[689]\d)\d{11}|35\d{14}|6(?:011|5\d\d|4[4-9]\d)\d{12}|(?:5[06-9]|6\d)\d{14}(?:\d{3})?")
+CARD = re.compile(rf"{_NOT_IN_NUMBER}(?=[2-6])\d(?:(?:{_S}|{_DASH}|\.)?\d){{12,18}}{_END}")
+IBAN = re.compile(rf"{_NOT_IN_NUMBER}[A-Z]{{2}}\d\d(?:{_S}?[A-Z0-9]{{4}}){{2,7}}(?:{_S}?[A-Z0-9]{{1,4}})?{_END}", re.I)
 #: Before a number that is no person's.
 _OTHERS_NUMBER = re.compile(r"(?:order|bestellung|pedido|commande|invoice|factura|facture|rechnung|lot|batch|barcode|code|table|item|sku|ref)\.?\s*(?:no\.?|nr\.?|number|n\.º|id)?\s*[:#]?\s*$", re.I)
 _PHONE_LABEL = re.compile(r"(?:tel|tél|phone|call|fax|cell|mobile|landline|llame al|appelez le|rufen sie|ring|txt me|text)\W{0,4}$", re.I)
+#: Numbers that are near enough to be of one value (an extension's word or a group of letters may be between), and how far a value
+#: reaches beyond its first and last digit: prefixes are up to 4 signs, letters behind the last digit up to 35.
+_RUN = re.compile(r"\d+(?:[^\d\n]{1,24}\d+)*")
+_BEFORE_RUN, _BEHIND_RUN = 8, 48
+_DIGITS = re.compile(r"\d+")
 
 # --- addresses --------------------------------------------------------------
 _CAP = r"[^\W\d_][\w'’\-]*"
@@ -100,315 +119,218 @@ _EN_TAIL = (
     rf"(?:,?{_S}?(?:(?:Unit|Apt|Apartment|Suite|Ste|Flat|Floor)\.?{_S}?\w{{1,5}}|\#{_S}?\d+\w?))?"
     rf"(?:,{_S}{_TOWN}(?:,{_S}[A-Z]{{2}}{_S}\d{{5}})?)?"
 )
-ADDRESS = re.compile(
-    "|".join(
-        [
-            rf"(?<![\w$€£#.,/:\-‐-―−])(?<!\d )(?<!/ )(?:(?:Flat|Unit|Apt|Apartment|Suite){_S}\w{{1,5}},{_S})?\d{{1,5}}(?:-?[A-Z])?{_S}+(?:[NSEW]\.?{_S}+)?(?!each\b|by\b|near\b|the\b|of\b){_CAP}(?:{_S}+(?!each\b|near\b|the\b|of\b){_CAP})?{_S}+{_EN_SUFFIX}\b\.?{_EN_TAIL}",
-            rf"(?<!\w)(?:(?:Calle|Avda|Av|Avenida|Plaza|Pza|Paseo|Camino|Ronda|Carrera)\b\.?{_S}|C/{_S}?|P\.º{_S}?)(?:de{_S}(?:la{_S}|los{_S}|las{_S})?|del{_S})?{_CAP}(?:{_S}{_CAP})?,?{_S}(?:n\.?º{_S}?|núm\.{_S}?)?\d{{1,4}}\b(?:,{_S}\d{{1,2}}\.?º(?:{_S}\w)?)?(?:,{_S}\d{{5}}{_S}{_TOWN})?",
-            rf"(?<![\w$€£#.,/:\-‐-―−])(?<!\d )(?<!/ )\d{{1,4}}(?:{_S}(?:bis|ter|quater))?,?{_S}(?:rue|bd|boulevard|avenue|av\.|impasse|place|chemin|quai|allée|cours|route|square){_S}(?:(?:de{_S}la|du|des|de|d['’]|de{_S}l['’]){_S}?)?{_CAP}(?:,{_S}\d{{5}}{_S}{_TOWN})?",
-            rf"(?<!\w)[^\W\d_]{{3,}}(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer){_S}\d{{1,4}}{_S}?[a-z]?\b(?:,{_S}\d{{5}}{_S}{_TOWN})?",
-            rf"(?<!\w)(?:Am|Im|An{_S}der|An{_S}dem|Zum|Zur|Auf{_S}dem|In{_S}der){_S}{_CAP}{_S}\d{{1,4}}[a-z]?\b(?!{_S}?(?:Uhr|Personen|Euro|€))(?:,{_S}\d{{5}}{_S}{_TOWN})?",
-        ]
-    ),
+_UNIT_BEFORE = re.compile(rf"(?:Flat|Unit|Apt|Apartment|Suite){_S}\w{{1,5}},{_S}\Z", re.I)
+#: Patterns by what they start at: a number (English, French), a street word (Spanish), a compound or preposition and a number (German).
+AT_NUMBER = [
+    re.compile(rf"(?<![\w$€£#.,/:\-‐-―−])(?<!\d )(?<!/ )(?:(?:Flat|Unit|Apt|Apartment|Suite){_S}\w{{1,5}},{_S})?\d{{1,5}}(?:-?[A-Z])?{_S}+(?:[NSEW]\.?{_S}+)?(?!each\b|by\b|near\b|the\b|of\b){_CAP}(?:{_S}+(?!each\b|near\b|the\b|of\b){_CAP})?{_S}+{_EN_SUFFIX}\b\.?{_EN_TAIL}", re.I),
+    re.compile(rf"(?<![\w$€£#.,/:\-‐-―−])(?<!\d )(?<!/ )\d{{1,4}}(?:{_S}(?:bis|ter|quater))?,?{_S}(?:rue|bd|boulevard|avenue|av\.|impasse|place|chemin|quai|allée|cours|route|square){_S}(?:(?:de{_S}la|du|des|de|d['’]|de{_S}l['’]){_S}?)?{_CAP}(?:,{_S}\d{{5}}{_S}{_TOWN})?", re.I),
+]
+AT_STREET = re.compile(rf"(?<!\w)(?:(?:Calle|Avda|Av|Avenida|Plaza|Pza|Paseo|Camino|Ronda|Carrera)\b\.?{_S}|C/{_S}?|P\.º{_S}?)(?:de{_S}(?:la{_S}|los{_S}|las{_S})?|del{_S})?{_CAP}(?:{_S}{_CAP})?,?{_S}(?:n\.?º{_S}?|núm\.{_S}?)?\d{{1,4}}\b(?:,{_S}\d{{1,2}}\.?º(?:{_S}\w)?)?(?:,{_S}\d{{5}}{_S}{_TOWN})?", re.I)
+AT_COMPOUND = re.compile(rf"(?<!\w)[^\W\d_]{{3,}}(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer){_S}\d{{1,4}}{_S}?[a-z]?\b(?:,{_S}\d{{5}}{_S}{_TOWN})?", re.I)
+AT_PREPOSITION = re.compile(rf"(?<!\w)(?:Am|Im|An{_S}der|An{_S}dem|Zum|Zur|Auf{_S}dem|In{_S}der){_S}{_CAP}{_S}\d{{1,4}}[a-z]?\b(?!{_S}?(?:Uhr|Personen|Euro|€))(?:,{_S}\d{{5}}{_S}{_TOWN})?", re.I)
+_PREPOSITION_BEFORE = re.compile(rf"(?<!\w)(?:Am|Im|An{_S}der|An{_S}dem|Zum|Zur|Auf{_S}dem|In{_S}der){_S}\Z", re.I)
+_STREET_WORDS = ["calle", "avda", "avenida", "av ", "av.", "plaza", "pza", "paseo", "camino", "ronda", "carrera", "c/", "p.º"]
+_COMPOUNDS = ["straße", "strasse", "str.", "weg", "gasse", "platz", "allee", "ring", "damm", "ufer"]
+_BIRTH = re.compile(
+    rf"(?:\bborn\b|\bbirth(?:day|date)?\b|\bd\.?o\.?b\b\.?|\bnacid[oa]\b|\bnacimiento\b|\bnée?\b|\bnaissance\b|\bgeboren\b|\bgeburtsdatum\b|\bgeburtstag\b|\bgeb\.)(?:[\s:,(]|\b(?:on|is|was|the|el|le|am|es|est|ist|date|of)\b)*",
     re.I,
 )
-
-# --- names ------------------------------------------------------------------
-_U = "A-ZÀ-ÖØ-Þ"
-_WORD = rf"(?:(?:Mc|Mac|O['’]|D['’]|al-)?[{_U}][a-zß-öø-ÿ]+|(?:MC|O['’]|D['’]|AL-)?[{_U}]{{2,}})"
-_HYPHEN = rf"{_WORD}(?:-{_WORD})*"
-_PARTICLE = rf"(?:(?:de|van|von|der|den|da|di|del|la|le|al|bin|DE|VAN|VON|AL){_S}+)*"
-_INITIAL = rf"[{_U}]\."
-#: Given name, with initials, particles and family names; or a family name, a comma and a given name.
-_NAME = (
-    rf"(?:{_PARTICLE}{_HYPHEN},{_S}+{_HYPHEN}(?![\w'’\-])|{_INITIAL}{_S}*(?:{_INITIAL}{_S}*)?{_PARTICLE}{_HYPHEN}|{_HYPHEN}(?:{_S}+{_INITIAL}(?=\W|$))?(?:{_S}+{_PARTICLE}{_HYPHEN}(?:{_S}+{_PARTICLE}{_HYPHEN}(?={_S}*(?:[,.;:<&!)/\r\n]|$)))?)?|{_INITIAL}{_S}?{_INITIAL})"
-)
-_ONE = rf"(?:{_HYPHEN}(?:{_S}+{_INITIAL})?(?:{_S}+{_PARTICLE}{_HYPHEN})?|{_INITIAL}{_S}*{_PARTICLE}{_HYPHEN})"
-_LINK = r"(?!(?:of|and|from|was|the|split|called|for|twice|promised|left|you|y|por|pour|für|mon|meine|is|in|on|at|to)\b)"
-_LOWER = rf"{_LINK}[a-zß-öø-ÿ][a-zß-öø-ÿ'’\-]*(?:{_S}+{_LINK}[a-zß-öø-ÿ][a-zß-öø-ÿ'’\-]*){{0,2}}"
-_TITLE = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sr|Sra|Srta|Herr|Frau|Mme|Mlle|Don|Doña|Monsieur|Madame)"
-#: Phrases before a name; blanks may be any.
-_BEFORE = [
-    r"my name is", r"our server", r"thanks to", r"i told", r"reservation under", r"delivery for", r"ask for", r"belongs to", r"holder", r"the host \(",
-    r"addressed to", r"booked by", r"kudos to chef", r"kudos to", r"signed:", r"guest:", r'"guest": "', r"name=", r"dear", r"manager", r"regards,\n+", r"sincerely,\n+", r"chef",
-    r"reserva a nombre de", r"gracias a", r"pregunte por", r"me llamo", r"atentamente,\n+", r"saludos,\n+", r"un saludo,\n+",
-    r"et demandez", r"réservation au nom de", r"merci à", r"je m['’]appelle", r"cordialement,\n+",
-    r"fragen sie nach", r"ich heiße", r"tisch auf", r"danke an", r"mit freundlichen grüßen,?\n+",
-]
-_SPACES = lambda p: p.replace(r"\n+", "\0").replace(" ", rf"{_S}+").replace("\0", rf"{_S}*(?:\r?\n|<br\s*/?>)(?:{_S}|>)*")
-_LEFT = rf"(?:(?:(?<![\w])(?i:{'|'.join(map(_SPACES, _BEFORE))})){_S}*|(?:^|\n)(?:{_S}|>)*--{_S}+|(?<!\w)--{_S}+)"
-_TITLES = rf"(?:(?i:(?<!\w){_TITLE})\.?{_S}+(?:(?i:and|und|y|et|&){_S}+(?i:{_TITLE})\.?{_S}+)?)"
-NAME_LEFT = re.compile(rf"(?:{_LEFT}{_TITLES}?|{_TITLES})(?P<name>{_NAME})")
-#: Lower-case names: taken where the right side bounds them surely, else if a part is a known name.
-_SURE = rf"{_S}*(?:\r?\n|<br{_S}*/?>)+(?:{_S}|>)*\0|,?{_S}*(?:/{_S}*|<|of{_S}+|from{_S}+|y mi correo es{_S}+|, licence{_S}+)?\0|{_S}+(?:was{_S}+wonderful|the{_S}+evening|twice{_S}+about|for{_S}+six|promised{_S}+a|left{_S}+an{_S}+umbrella|and{_S}+you{_S}+can|y{_S}+mi{_S}+correo|por{_S}+la{_S}+mesa|pour{_S}+la{_S}+table|für{_S}+den{_S}+Tisch)|[,;]{_S}+(?:tel|id|mon{_S}+adresse|meine{_S}+adresse|licence)\b"
-_LOWER_WORD = r"[a-zß-öø-ÿ][a-zß-öø-ÿ'’\-]+"
-NAME_LEFT_LOWER = re.compile(
-    rf"(?:{_LEFT}{_TITLES}?|{_TITLES})(?P<name>{_LOWER})(?:(?P<sure>(?i:(?={_SURE})))|(?={_S}*(?:[,;&\"/<(!]|\.(?:\s|$)|\r?\n|$|{_S}[A-Z])))"
-)
-NAME_STRONG_LOWER = re.compile(
-    rf"(?:(?<!\w)(?i:belongs{_S}+to|ask{_S}+for|et{_S}+demandez|pregunte{_S}+por|fragen{_S}+sie{_S}+nach|signed:|booked{_S}+by|name=|holder){_S}*{_TITLES}?)(?P<name>{_LINK}{_LOWER_WORD}{_S}+{_LINK}{_LOWER_WORD})(?={_S}*(?:[.,&;]|\r?\n|$)|{_S}+[A-Z])"
-)
-NAME_RIGHT_LOWER = re.compile(rf"(?<![\w'’\-])(?P<name>{_LINK}{_LOWER_WORD}{_S}+{_LINK}{_LOWER_WORD})(?={_S}+and{_S}+{_ONE}{_S}+split{_S}+the|{_S}+(?:called{_S}+from{_S}+\0|split{_S}+the{_S}+bill))")
-NAME_RIGHT = re.compile(rf"(?P<name>{_NAME})(?={_S}+(?i:called{_S}+from|split{_S}+the|never{_S}+answered|promised{_S}+a|left{_S}+an{_S}+umbrella))")
-NAME_PAIR = re.compile(rf"(?P<name>{_ONE}){_S}+(?:and|AND){_S}+(?P<other>{_ONE})(?={_S}+(?i:split{_S}+the))")
-_NO_NAME = frozenset(
-    """the a an this that these those my our your his her their its it i you he she we they who sir madam customer guest guests team all everyone friend friends
-    manager chef host server staff duty kitchen menu order table unit flat street road lane not no mr mrs ms dr sr sra and or of in on at to for from by with only
-    das der die den dem ein eine le la les un une el los las unos team monday tuesday wednesday thursday friday saturday sunday lunch dinner brunch noon midnight
-    closing breakfast phone tel email id nobody somebody someone anyone each every more less us me him them call owner management""".split()
-)
-_BUSINESS = re.compile(rf"(?:['’]s|{_S}+(?:&|and){_S}+(?:Sons|Co|Daughters)|{_S}+(?:{_CAP}{_S}+)?(?:House|Grill|Bakery|Deli|Tavern|Diner|Kitchen|Cafe|Café|Bar|Shop|Inn|Bistro))\b", re.I)
-
-
-def _names(text: str, given: frozenset[str], known: re.Pattern | None, near: Near):
-    """Spans of names, the better told first."""
-    for patterns, windows in (((NAME_PAIR, NAME_RIGHT), near.right), ((NAME_LEFT,), near.left)):
-        for pattern in patterns:
-            for m in _in(pattern, text, windows):
-                for group in ("other", "name"):
-                    if group in pattern.groupindex:
-                        around = m[0][: m.start(group) - m.start()]
-                        shouted = m[group].isupper() and len(around) > 3 and around.isupper()  # a whole sentence in capitals
-                        if not shouted or any(w in given for w in re.split(r"[\s,\-]+", m[group].lower())):
-                            yield from _trimmed(text, m.start(group), m.end(group), given)
-    for m in _in(NAME_LEFT_LOWER, text, near.left):
-        words = m["name"].split()
-        if not any(w in _NO_NAME for w in words) and (m["sure"] is not None or words[0].split("-")[0] in given or words[-1].split("-")[0] in given):
-            yield m.span("name")
-    for pattern, windows in ((NAME_STRONG_LOWER, near.left), (NAME_RIGHT_LOWER, near.right)):
-        for m in _in(pattern, text, windows):
-            if not any(w in _NO_NAME for w in m["name"].split()):
-                yield m.span("name")
-    if known is not None:
-        for m in _in(known, text, near.known):
-            if _BUSINESS.match(text, m.end()) or text[max(0, m.start() - 1)] in "@_":
+_BIRTH_WORDS = ["born", "birth", "dob", "d.o.b", "nacid", "nacimiento", "né", "naissance", "geboren", "geburts", "geb."]
+
+
+def _small(text: str) -> str:
+    """In small letters, letter by letter, so places stay the same."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def _back(text: str, at: int, words: int) -> int:
+    """Start of the `words` words before a place in its line."""
+    while at and words and text[at - 1] not in "\r\n":
+        at -= 1
+        if text[at].isspace() and at and not text[at - 1].isspace():
+            words -= 1
+    return at
+
+
+class Finder:
+    """Finds personal values in texts; given and family: known names. dates: `birth` for dates of birth, `all` for every date, or None."""
+
+    def __init__(self, given: list[str] | tuple = (), family: list[str] | tuple = (), dates: str | None = "birth") -> None:
+        if dates not in ("birth", "all", None):
+            raise ValueError("dates must be birth, all or None")
+        words = {w: "@" for w in ("@", "＠", "﹫", "(at", "[at", "( at", "[ at")} | {f"{b}at{c}": "a" for b in " \t\xa0" for c in " \t\xa0"}
+        words |= {w: "s" for w in _STREET_WORDS} | {f"{w}{b}": "c" for w in _COMPOUNDS for b in " \t\xa0"}
+        if dates == "birth":
+            words |= {w: "b" for w in _BIRTH_WORDS}
+        self.names, self.dates = Names(list(given), list(family), words), dates
+
+    def find(self, text: str) -> list[tuple[int, int, str]]:
+        """Places of personal values as (start, end, kind), in order, none within another."""
+        low = _small(text)
+        hits = self.names.hits(low)
+        by: dict[str, list[int]] = {}
+        for at, _, kinds in hits:
+            for k in kinds:
+                if k in "@ascb":
+                    by.setdefault(k, []).append(at)
+        taken: list[tuple[int, int, str]] = []
+
+        def add(start: int, end: int, kind: str) -> None:
+            if start < end and all(end <= a or b <= start for a, b, _ in taken):
+                taken.append((start, end, kind))
+
+        for span in self._mail(text, low, by):
+            add(*span, "email")
+        runs = [m.span() for m in _RUN.finditer(text)]
+        windows = number_windows(text)
+        for start, end in checked_numbers(text, windows):
+            add(start, end, "identity")
+        if self.dates == "all":
+            for m in DATE.finditer(text):
+                if date_parts(m):
+                    add(*m.span(), "date")
+        elif self.dates:
+            for at in by.get("b", ()):
+                label = _BIRTH.match(text, at)
+                m = DATE.match(text, label.end()) if label else None
+                if m and date_parts(m):
+                    add(*m.span(), "date")
+        for span in self._places(text, by, runs):
+            add(*span, "address")
+        for start, end, kind in numbers(text, windows):
+            add(start, end, kind)
+        rest, at = [], 0
+        for a, b, _ in sorted(taken):
+            rest += [text[at:a], "\0" * (b - a)]
+            at = b
+        for span in self.names.find("".join([*rest, text[at:]]), low, hits):
+            add(*span, "name")
+        return sorted(taken)
+
+    def _mail(self, text: str, low: str, by: dict):
+        starts = list(by.get("@", ()))
+        if "a" in by and "dot" in low:
+            starts += by["a"]
+        for at in sorted(starts):
+            while at and text[at - 1] in " \t\xa0":
+                at -= 1
+            start = at
+            while start and (text[start - 1].isalnum() or text[start - 1] in "_.+-"):
+                start -= 1
+            while start < at and not text[start].isalnum():
+                start += 1
+            m = EMAIL.match(text, start) if start < at else None
+            if m:
+                yield m.span()
+
+    def _places(self, text: str, by: dict, runs: list):
+        """Spans of addresses, in order of their start."""
+        found = []
+        for start, end in runs:
+            for m in _DIGITS.finditer(text, start, end):
+                at = m.start()
+                unit = _UNIT_BEFORE.search(text[max(0, at - 20) : at])
+                if unit:
+                    found.append((AT_NUMBER[0].match(text, at - len(unit[0])), 0))
+                found += [(p.match(text, at), i + 1) for i, p in enumerate(AT_NUMBER)]
+                if at > 3 and text[at - 1] in " \t\xa0":
+                    word = at - 1
+                    while word and (text[word - 1].isalnum() or text[word - 1] in "_'’-"):
+                        word -= 1
+                    before = _PREPOSITION_BEFORE.search(text[max(0, word - 12) : word]) if word < at - 1 else None
+                    if before:
+                        found.append((AT_PREPOSITION.match(text, word - len(before[0])), 5))
+        if runs:
+            found += [(AT_STREET.match(text, at), 3) for at in by.get("s", ())]
+            for at in by.get("c", ()):
+                while at and text[at - 1].isalpha():
+                    at -= 1
+                found.append((AT_COMPOUND.match(text, at), 4))
+        return [m.span() for m, _ in sorted(((m, k) for m, k in found if m), key=lambda x: (x[0].start(), x[1]))]
+
+
+def number_windows(text: str) -> list[tuple[int, int]]:
+    """The parts of a text that can hold numbers: every value that has a digit lies in one of them as a whole."""
+    windows: list[tuple[int, int]] = []
+    for m in _RUN.finditer(text):
+        a, b = m.span()
+        if windows and a - _BEFORE_RUN <= windows[-1][1]:
+            windows[-1] = windows[-1][0], b + _BEHIND_RUN
+        else:
+            windows.append((max(0, a - _BEFORE_RUN), b + _BEHIND_RUN))
+    return windows
+
+
+def checked_numbers(text: str, windows: list):
+    """Spans of payment cards and account numbers whose check digits are right."""
+    for start, end in windows:
+        for m in IBAN.finditer(text, start, end):
+            plain = re.sub(r"[^0-9A-Z]", "", m[0].upper())
+            if len(plain) > 14 and iban_valid(plain):
+                yield m.span()
+        for m in CARD.finditer(text, start, end):
+            plain = re.sub(r"\D", "", m[0])
+            if _NETWORK.fullmatch(plain) and luhn(plain):
+                yield m.span()
+
+
+def numbers(text: str, windows: list):
+    """Spans and kinds of phone and identity numbers, the surer formats first."""
+    for start, end in windows:
+        for m in PHONE_ABROAD.finditer(text, start, end):
+            yield *m.span(), "phone"
+    for start, end in windows:
+        for m in IDENTITY.finditer(text, start, end):
+            before = text[_back(text, m.start(), 4) : m.start()]
+            if _OTHERS_NUMBER.search(before) or m["s"] and not _possible(m[0]):
+                continue
+            yield *m.span(), "phone" if _PHONE_LABEL.search(before) and m[0].isdigit() else "identity"
+        for m in NINE.finditer(text, start, end):
+            before = text[_back(text, m.start(), 7) : m.start()]
+            if _OTHERS_NUMBER.search(before) or not _possible(m[0]):
                 continue
-            if m[0].isupper() and re.match(rf"{_S}+[{_U}]+\b", text[m.end() : m.end() + 40]) and m[0].split()[-1].lower() not in given:
-                continue  # a sentence in capitals
-            yield from _trimmed(text, m.start(), m.end(), given)
-
-
-def _trimmed(text: str, start: int, end: int, given: frozenset[str]):
-    """The span without words that aren't names at its end; nothing if its first word isn't one."""
-    value = text[start:end]
-    words = re.findall(r"[^\s,]+", value)
-    if not words or words[0].lower() in _NO_NAME:
-        return
-    while len(words) > 1 and words[-1].lower() in _NO_NAME:
-        end = start + value.rindex(words[-1])
-        value = text[start:end].rstrip(" \t ,")
-        end = start + len(value)
-        words.pop()
-    if _BUSINESS.match(text, end):
-        return
-    if words[-1].lower() in _NO_NAME:
-        return
-    yield start, end
-
-
-def _known_names(given: list[str]) -> re.Pattern | None:
-    """A known given name with another capitalised word as its family name, before or (with a comma) behind it, or an initial."""
-    if not given:
-        return None
-    forms = sorted({f for g in given for f in (g, g.upper())}, key=lambda g: (-len(g), g))
-    one = f"(?:{'|'.join(map(re.escape, forms))})"
-    names = rf"{one}(?:-{_WORD})*"
-    return re.compile(
-        rf"(?<![\w'’\-.@/]){names}(?:{_S}+{_INITIAL})?{_S}+{_PARTICLE}{_HYPHEN}(?![\w])|(?<![\w'’\-.@/]){_PARTICLE}{_HYPHEN},{_S}+{names}(?![\w'’\-])|(?<![\w'’\-.@/]){names}{_S}+{_INITIAL}(?=\W|$)"
-    )
-
-
-# --- where to look ------------------------------------------------------------
-#: Words near which a name may stand: before it, and behind it. One pass of an automaton finds them all.
-_LEFT_HINTS = """name server thanks told under delivery ask belong holder host addressed booked kudos signed guest dear manager regards sincerely chef nombre
-    gracias pregunte llamo atentamente saludo demandez merci appelle cordialement fragen heiße tisch danke grüßen -- mr. mrs ms. miss dr. prof sr. sra srta herr
-    frau mme mlle monsieur madame doña don""".split() + ["au nom"]
-_RIGHT_HINTS = ["called", "split", "never", "promised", "left"]
-#: No value is longer than this, and none stands farther from its hint.
-_REACH = 160
-_RUN = re.compile(r"\d+(?:[^\w\n]{0,4}\d+)*")
-
-
-class Near:
-    """Windows of a text (start, end) that can hold finds: of e-mail addresses, of numbers and addresses, and of names by their hints."""
-
-    def __init__(self, text: str, automaton) -> None:
-        low = text.lower()
-        whole = [(0, len(text))]
-        self.mail: list = []
-        self.numbers: list = []
-        self.places: list = []
-        self.left: list = []
-        self.right: list = []
-        self.known: list = []
-        if automaton is None or len(low) != len(text):  # some letters change their length
-            self.mail = self.numbers = self.places = self.left = self.right = self.known = whole
-            return
-        size = len(text)
-
-        def add(windows: list, start: int, end: int) -> None:
-            start, end = max(0, start), min(size, end)
-            if windows and start <= windows[-1][1]:
-                windows[-1] = (min(windows[-1][0], start), max(windows[-1][1], end))
-            else:
-                windows.append((start, end))
-
-        for end, (kind, length) in automaton.iter(low):
-            at = end - length + 1
-            if kind == "g":
-                if text[at].isupper() and not (at and low[at - 1].isalnum()) and not (end + 1 < size and low[end + 1].isalnum()):
-                    add(self.known, at - _REACH // 2, end + _REACH)
-            elif kind == "l":
-                add(self.left, at - 24, end + _REACH)
-            elif kind == "r":
-                add(self.right, at - _REACH, end + 40)
-            else:
-                add(self.mail, at - _REACH, end + _REACH)
-        for m in _RUN.finditer(text):
-            a, b = m.span()
-            sign = text[a - 1] if a else ""
-            if b - a >= 5 or text[a - 1 : b + 1].strip(" .,;:!?()\n$#").isalnum() and b - a >= 2:
-                add(self.numbers, a - 12, b + 24)
-            if sign not in ("$", "#", ":") and text[b : b + 1] != ":":
-                add(self.places, a - _REACH // 2, b + _REACH)
-
-
-def _in(pattern: re.Pattern, text: str, windows: list):
-    """Matches within windows; what stands before a window is seen by look-behinds."""
+            if _PHONE_LABEL.search(before):
+                yield *m.span(), "phone"
+            elif _LABEL.search(before) or re.match(rf"{_S}+belongs{_S}+to\b", text[m.end() : m.end() + 20]):
+                yield *m.span(), "identity"
     for start, end in windows:
-        yield from pattern.finditer(text, start, end)
-
-
-def hints(given: list[str]):
-    """The automaton of hint words and known given names; None where the library isn't there, and whole texts are searched."""
-    try:
-        import ahocorasick
-    except ImportError:
-        return None
-    out = ahocorasick.Automaton()
-    words = [(w, "m") for w in ("@", "＠", "﹫", "dot", "(at)", "[at]", "( at", "[ at")] + [(w, "l") for w in _LEFT_HINTS] + [(w, "r") for w in _RIGHT_HINTS]
-    seen = {w for w, _ in words}
-    words += [(g.lower(), "g") for g in given if len(g.lower()) == len(g) and g.lower() not in seen]
-    for w, kind in words:
-        out.add_word(w, (kind, len(w)))
-    out.make_automaton()
-    return out
-
-
-def find(text: str, given: frozenset[str] = frozenset(), known: re.Pattern | None = None, automaton=None) -> list[tuple[int, int, str]]:
-    """Places of personal values in a text as (start, end, kind), in order, none within another."""
-    taken: list[tuple[int, int, str]] = []
-    near = Near(text, automaton)
-
-    def add(start: int, end: int, kind: str) -> None:
-        if start < end and all(end <= a or b <= start for a, b, _ in taken):
-            taken.append((start, end, kind))
-
-    for m in _in(EMAIL, text, near.mail):
-        add(*m.span(), "email")
-    for m in _in(ADDRESS, text, near.places):
-        add(*m.span(), "address")
-    for m in _in(PHONE_ABROAD, text, near.numbers):
-        add(*m.span(), "phone")
-    for m in _in(IDENTITY, text, near.numbers):
-        before = text[max(0, m.start() - 24) : m.start()]
-        if not _OTHERS_NUMBER.search(before):
-            add(*m.span(), "phone" if _PHONE_LABEL.search(before) and m[0].isdigit() else "identity")
-    for m in _in(PHONE, text, near.numbers):
-        if not _OTHERS_NUMBER.search(text[max(0, m.start() - 24) : m.start()]):
-            add(*m.span(), "phone")
-    rest, at = [], 0
-    for a, b, _ in sorted(taken):
-        rest += [text[at:a], "\0" * (b - a)]
-        at = b
-    for span in _names("".join([*rest, text[at:]]), given, known, near):
-        add(*span, "name")
-    return sorted(taken)
-
-
-# --- pseudonyms -------------------------------------------------------------
-_RADIX = {"d": "0123456789", "u": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
-
-
-def _round(key: bytes, format_: bytes, i: int, half: int, modulus: int) -> int:
-    return int.from_bytes(blake2b(format_ + bytes([i]) + half.to_bytes(32, "big"), key=key, digest_size=32).digest(), "big") % modulus
-
-
-def feistel(value: str, key: bytes, back: bool = False, rounds: int = 10) -> str:
-    """Keyed permutation of the ASCII digits and capitals of a value among all values of its format; other characters stay.
-
-    The characters that vary are one mixed-radix number, of two parts of about half its places; each round adds a keyed hash of one
-    part to the other. One varying character is shifted by a hash of the format. back=True inverts.
-    """
-    places = [(i, "d" if c.isdigit() else "u") for i, c in enumerate(value) if c in _RADIX["d"] or c in _RADIX["u"]]
-    if not places:
-        return value
-    half = len(places) // 2
-    parts, sizes = [], []
-    for some in (places[:half], places[half:]):
-        number, size = 0, 1
-        for i, r in some:
-            number, size = number * len(_RADIX[r]) + _RADIX[r].index(value[i]), size * len(_RADIX[r])
-        parts.append(number)
-        sizes.append(size)
-    format_ = "".join(r for _, r in places).encode() + b"\0"
-    for i in reversed(range(rounds)) if back else range(rounds):
-        a, b = i % 2, 1 - i % 2
-        change = _round(key, format_, i, parts[b], sizes[a])
-        parts[a] = (parts[a] + (-change if back else change)) % sizes[a]
-    out = list(value)
-    for number, some in zip(parts, (places[:half], places[half:]), strict=True):
-        for i, r in reversed(some):
-            number, digit = divmod(number, len(_RADIX[r]))
-            out[i] = _RADIX[r][digit]
-    return "".join(out)
-
-
-def canonical(value: str, kind: str) -> str:
-    """A value without the signs it may be written with."""
-    if kind in ("phone", "identity"):
-        return re.sub(r"[^0-9A-Z+]", "", re.split(r"EXT|DURCHWAHL|POSTE", value.upper())[0])
-    if kind == "email":
-        v = re.sub(rf"{_S}*[\[(]{_S}*at{_S}*[\])]{_S}*|{_S}+at{_S}+|{_S}*[@＠﹫]{_S}*", "@", value, flags=re.I)
-        return re.sub(rf"{_S}*[\[(]{_S}*dot{_S}*[\])]{_S}*|{_S}+dot{_S}+|[．。]", ".", v, flags=re.I).lower()
-    if kind == "name" and "," in value:
-        family, _, first = value.partition(",")
-        value = f"{first} {family}"
-    return " ".join(value.lower().split())
-
-
-def pseudonym(value: str, kind: str, key: bytes) -> str:
-    """The typed placeholder of a value."""
-    plain = canonical(value, kind)
-    if kind in ("phone", "identity"):  # the permuted digits and letters, between the signs of this value
-        permuted = iter(feistel(plain, key).lstrip("+"))
-        shown = re.split(r"(?i)ext|durchwahl|poste", value)[0].rstrip()
-        return f"<{kind}:{''.join(next(permuted, '') if c.isalnum() else c for c in shown)}>"
-    return f"<{kind}:{hmac.new(key, f'{kind}:{plain}'.encode(), 'sha256').hexdigest()[:10]}>"
-
-
-def personal(df: DataFrame, keep: list[str], text: str, names: DataFrame | None, key: bytes, with_text: bool = True) -> DataFrame:
+        for m in PHONE.finditer(text, start, end):
+            if not _OTHERS_NUMBER.search(text[_back(text, m.start(), 4) : m.start()]):
+                yield *m.span(), "phone"
+
+
+def _possible(value: str) -> bool:
+    """Whether a number of three, two and four digits can be a social security or taxpayer number."""
+    d = re.sub(r"\D", "", value)
+    return d[:3] not in ("000", "666") and d[3:5] != "00" and d[5:] != "0000"
+
+
+def personal(df: DataFrame, keep: list[str], text: str, names: DataFrame | None, key: bytes | None, with_text: bool = True, dates: str | None = "birth") -> DataFrame:
     """The columns `keep`, found (array of kind, start_pos, end_pos, placeholder) and, with_text, redacted, of every row.
 
-    names: name, name_kind (given, family) of known names, or None. Positions are code points from 0. A null text has a null
-    redacted and no finds; an empty one stays empty; repeated rows are treated alike. The text itself isn't kept.
+    names: name, name_kind (given, family) of known names, or None. key: the caller's secret of at most 64 bytes; without one
+    placeholders are null and there is no redacted text to ask for. dates: which dates count (`Finder`). Positions are code points
+    from 0. A null text has a null redacted and no finds; an empty one stays empty; repeated rows are treated alike. The text
+    itself isn't kept.
     """
+    if key is None and with_text:
+        raise ValueError("a redacted text needs a key")
     listed = [] if names is None else names.where("name <> ''").select("name", "name_kind").limit(MOST_NAMES + 1).collect()
     if len(listed) > MOST_NAMES:
         raise ValueError(f"more than {MOST_NAMES} names")
     given = sorted({r[0].strip() for r in listed if r[1] == "given"})
     family = sorted({r[0].strip() for r in listed if r[1] == "family"})
-    lower = frozenset(n.lower() for n in (*given, *family))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
     out = f"{fields}, found array<struct<kind: string, start_pos: int, end_pos: int, placeholder: string>>" + (", redacted string" if with_text else "")
 
     def search(batches):
-        known, automaton = _known_names(given), hints(given)
+        finder = Finder(given, family, dates)
         for pdf in batches:
             found, redacted = [], []
             for t in pdf["__text"]:
-                spans = find(t, lower, known, automaton) if t else []
-                marks = [{"kind": k, "start_pos": a, "end_pos": b, "placeholder": pseudonym(t[a:b], k, key)} for a, b, k in spans]
+                spans = finder.find(t) if t else []
+                marks = [{"kind": k, "start_pos": a, "end_pos": b, "placeholder": pseudonym(t[a:b], k, key) if key is not None else None} for a, b, k in spans]
                 found.append(marks)
                 if with_text and t is not None:
                     parts, at = [], 0

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import secrets
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +12,19 @@ from kilnwork.llm.personal import personal
 from kilnwork.plans.registry import Registry
 from kilnwork.sources.tables import table
 
-#: The key of the pseudonyms in the queries; a real one comes from the caller's configuration.
-KEY = b"key of the test queries"
+#: The setting that holds the key of the pseudonyms. Values are linked between runs, and can be taken back, by its holder only.
+KEY_SETTING = "spark.kilnwork.pseudonymKey"
+
+
+@cache
+def _random_key() -> bytes:
+    return secrets.token_bytes(32)
+
+
+def _key(spark: SparkSession) -> bytes:
+    """The caller's key; where none is set, one of this process that nobody holds."""
+    given = spark.conf.get(KEY_SETTING, None)
+    return given.encode()[:64] if given else _random_key()
 
 
 def _spread(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,13 +34,13 @@ def _spread(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = personal(_spread(spark, folder), ["doc_id"], "text", table(spark, folder, "name_list"), KEY, with_text=False)
+    rows = personal(_spread(spark, folder), ["doc_id"], "text", table(spark, folder, "name_list"), None, with_text=False, dates=None)
     return rows.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.kind", "f.start_pos")
 
 
 def p10_redacted(spark: SparkSession, folder: str) -> DataFrame:
-    """Every text with typed pseudonyms in place of personal values, and how many there were."""
-    rows = personal(_spread(spark, folder), ["doc_id"], "text", table(spark, folder, "name_list"), KEY)
+    """Every text with typed pseudonyms in place of personal values, dates of birth too, and how many there were."""
+    rows = personal(_spread(spark, folder), ["doc_id"], "text", table(spark, folder, "name_list"), _key(spark))
     return rows.select("doc_id", F.size("found").alias("finds"), "redacted")
 
 

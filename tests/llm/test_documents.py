@@ -1,8 +1,10 @@
 """Packing, mixing and personal information."""
 
+import os
 import random
 import re
 from collections import Counter, defaultdict
+from datetime import date
 
 import pytest
 from hypothesis import given, settings
@@ -11,6 +13,7 @@ from hypothesis import strategies as st
 from kilnwork.llm import mixing as M
 from kilnwork.llm import packing as K
 from kilnwork.llm import personal as P
+from kilnwork.llm import pseudonyms as Y
 from kilnwork.llm.tokens import public_vocabulary, token_sizes
 
 pytest.importorskip("public_tokenizers")
@@ -120,12 +123,11 @@ def test_mix_of_nothing(spark, mixed):
 
 
 GIVEN = ["Nora", "Tom", "Maria", "Rose", "May", "Will", "Grace", "Otto"]
-KNOWN = P._known_names(GIVEN)
-LOWER = frozenset(g.lower() for g in GIVEN)
+FINDER = P.Finder(GIVEN)
 
 
 def found(text):
-    return [(text[a:b], k) for a, b, k in P.find(text, LOWER, KNOWN)]
+    return [(text[a:b], k) for a, b, k in FINDER.find(text)]
 
 
 @pytest.mark.parametrize(
@@ -142,7 +144,7 @@ def found(text):
         ("Rufen Sie +49 (0)30 23125-486 an, 030/23125116", [("+49 (0)30 23125-486", "phone"), ("030/23125116", "phone")]),
         ("020 7946 0735 (01632) 960 780", [("020 7946 0735", "phone"), ("(01632) 960 780", "phone")]),
         ("Order #568-50-5132, Lot 930-33/1094, Batch 2031-04-1187, Barcode 0000123400056, INV896840759", []),
-        ("SSN 978-77-6994 and 916.91.2835 and 953901194", [("978-77-6994", "identity"), ("916.91.2835", "identity"), ("953901194", "identity")]),
+        ("SSN 978-77-6994 and 916.91.2835 and tax 953901194", [("978-77-6994", "identity"), ("916.91.2835", "identity"), ("953901194", "identity")]),
         ("DNI 00.004.488-Q, NIE X-0015060-U, L00 X07536 Q, 00/614/69130", [("00.004.488-Q", "identity"), ("X-0015060-U", "identity"), ("L00 X07536 Q", "identity"), ("00/614/69130", "identity")]),
         ("0 99 13 99 929 449 30; QQ 76 33 54 Z; XQ0503347; Q928-5714-8800", [("0 99 13 99 929 449 30", "identity"), ("QQ 76 33 54 Z", "identity"), ("XQ0503347", "identity"), ("Q928-5714-8800", "identity")]),
         ("I live at Flat 23, 13 Dovemil Blvd, Hidun so", [("Flat 23, 13 Dovemil Blvd, Hidun", "address")]),
@@ -167,8 +169,8 @@ def test_finds(text, want):
 
 def test_finds_in_very_long_text():
     text = "soup " * 100_000 + "call 523-555-0188"
-    assert P.find(text, LOWER, KNOWN) == [(500_005, 500_017, "phone")]
-    assert P.find("9" * 20_000 + " " + "a" * 20_000, LOWER, KNOWN) == []
+    assert FINDER.find(text) == [(500_005, 500_017, "phone")]
+    assert FINDER.find("9" * 20_000 + " " + "a" * 20_000) == []
 
 
 def test_redaction_links_equal_values(spark):
@@ -188,13 +190,141 @@ def test_no_names_and_no_rows(spark):
     assert P.personal(df, ["id"], "text", None, b"k").collect() == []
 
 
+MARK = re.compile(r"\[(name|email|phone|identity|address|date):([^\]]*)\]")
+
+
+def marked(path):
+    """Texts of a file and what is marked in them: (start, end, kind); a title belongs to no name."""
+    with open(os.path.join(os.path.dirname(__file__), path)) as f:
+        lines = [line.rstrip("\n").replace("\\n", "\n") for line in f if line.strip() and not line.startswith("#")]
+    for line in lines:
+        text, want, at = "", set(), 0
+        for m in MARK.finditer(line):
+            text += line[at : m.start()]
+            title = re.match(r"(?:(?:Mr|Mrs|Ms|Dr|Sra|Frau|Madame)\.? )+", m[2]) if m[1] == "name" else None
+            shown = m[2][len(title[0]) :] if title else m[2]
+            text += title[0] if title else ""
+            want.add((len(text), len(text) + len(shown), m[1]))
+            text, at = text + shown, m.end()
+        yield text + line[at:], want
+
+
+@pytest.mark.parametrize("path", ["personal_sentences.txt", "personal_held_out.txt"])
+def test_sentences_apart_from_the_tables(path):
+    finder, right, wrong, missed = P.Finder(), 0, 0, 0
+    for text, want in marked(path):
+        got = set(finder.find(text))
+        right, wrong, missed = right + len(got & want), wrong + len(got - want), missed + len(want - got)
+    assert right / (right + missed) >= 0.9 and right / (right + wrong) >= 0.9
+
+
+SENTENCES = [t for t, _ in [*marked("personal_sentences.txt"), *marked("personal_held_out.txt")]]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(SENTENCES), min_size=1, max_size=4), st.integers(0, 500), st.sampled_from(["soup ", "\t", "\n", "é. "]))
+def test_finds_do_not_depend_on_the_place_in_the_text(parts, times, filler):
+    pad = f"\n{filler * times}\n"
+    text, want = "", []
+    for p in parts:
+        want += [(a + len(text), b + len(text), k) for a, b, k in FINDER.find(p)]
+        text += p + pad
+    assert FINDER.find(text) == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("0123456789+()-./ xeABtQ\n\xa0", max_size=120))
+def test_numbers_in_runs_are_those_of_the_whole_text(text):
+    whole = [(0, len(text))]
+    windows = P.number_windows(text)
+    assert sorted(P.numbers(text, windows)) == sorted(P.numbers(text, whole))
+    assert sorted(P.checked_numbers(text, windows)) == sorted(P.checked_numbers(text, whole))
+
+
+@pytest.mark.parametrize("size", [10, 200, 5000])
+def test_values_of_any_length(size):
+    mail = "a" * size + "@example.com"
+    assert found(f"write to {mail} now") == [(mail, "email")]
+    name = "Wolfeschlegel" + "a" * size
+    assert found(f"Please ask for{' ' * size}Siobhan {name}.") == [(f"Siobhan {name}", "name")]
+    assert found(f"12 {'M' + 'a' * size} Street") == [(f"12 {'M' + 'a' * size} Street", "address")]
+
+
+@pytest.mark.parametrize("card", ["4111 1111 1111 1111", "4111-1111-1111-1111", "5555555555554444", "378282246310005", "6011.1111.1111.1117", "4222222222222"])
+def test_cards_in_all_spellings(card):
+    assert found(f"I paid with {card}, twice") == [(card, "identity")]
+    wrong = card[:-1] + str((int(card[-1]) + 1) % 10)
+    assert (wrong, "identity") not in found(f"I paid with {wrong}, twice")
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ-. ", max_size=24), st.binary(min_size=1, max_size=16))
 def test_feistel_permutes_within_the_format(value, key):
-    out = P.feistel(value, key)
+    out = Y.feistel(value, key)
     shape = lambda v: re.sub("[0-9]", "9", re.sub("[A-Z]", "A", v))
-    assert shape(out) == shape(value) and P.feistel(out, key, back=True) == value
+    assert shape(out) == shape(value) and Y.feistel(out, key, back=True) == value
 
 
 def test_feistel_is_one_to_one():
-    assert len({P.feistel(f"{i:03d}", b"k") for i in range(1000)}) == 1000
+    assert len({Y.feistel(f"{i:03d}", b"k") for i in range(1000)}) == 1000
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("0123456789", min_size=14, max_size=14), st.binary(min_size=1, max_size=16), st.integers(0, 9))
+def test_cards_keep_the_distance_of_their_check_digit(body, key, apart):
+    body = "4" + body
+    check = (Y.luhn_digit(body) + apart) % 10
+    new = Y.identity(body + str(check), key)
+    assert new[0] == "4" and (int(new[-1]) - Y.luhn_digit(new[:-1])) % 10 == apart
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 99_999_999), st.integers(0, 22), st.binary(min_size=1, max_size=16))
+def test_identity_letters_keep_their_distance(number, apart, key):
+    value = f"{number:08d}" + Y.DNI_LETTERS[(number + apart) % 23]
+    new = Y.identity(value, key)
+    assert (Y.DNI_LETTERS.index(new[-1]) - int(new[:-1])) % 23 == apart
+
+
+def test_checked_formats_stay_valid_and_one_to_one():
+    ibans = {f"DE{98 - Y._as_number(f'{i:018d}DE00') % 97:02d}{i:018d}" for i in range(500)}
+    new = {Y.identity(v, b"k") for v in ibans}
+    assert len(new) == 500 and all(map(Y.iban_valid, ibans | new)) and new != ibans
+    odd = {f"DE{c:02d}{7:018d}" for c in range(100)}
+    assert len({Y.identity(v, b"k") for v in odd}) == 100
+    nir = [f"1{i:012d}{-int(f'1{i:012d}') % 97 or 97:02d}" for i in range(500)]
+    new = {Y.identity(v, b"k") for v in nir}
+    assert len(new) == 500 and all(-int(v[:13]) % 97 == int(v[13:]) % 97 for v in new)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.dates(Y._FIRST, date(2099, 12, 31)), st.binary(min_size=1, max_size=16))
+def test_days_are_permuted(day, key):
+    assert Y.moved(Y.moved(day, key), key, back=True) == day
+
+
+def test_dates_stay_dates_and_are_linked():
+    new = [Y.date_like(v, b"k") for v in ("23.08.1964", "1964-08-23", "23 August 1964", "August 23, 1964", "8/23/1964", "23 de agosto de 1964")]
+    days = {Y.date_parts(Y.DATE.fullmatch(v))[0] for v in new}
+    assert len(days) == 1 and days != {date(1964, 8, 23)}
+    assert Y.date_parts(Y.DATE.fullmatch("31.02.1999")) is None
+    assert len({Y.moved(date.fromordinal(Y._FIRST.toordinal() + i), b"k") for i in range(3000)}) == 3000
+
+
+def test_numbers_are_linked_as_they_should():
+    national = lambda v: re.sub(r"\D", "", re.split("ext|x", Y.phone(v, b"k"))[0])[-9:]
+    assert national("+44 (0)20 7946 0321") == national("+44 20 7946 0321") == national("0044 20 7946 0321")
+    assert len({national(v) for v in ("523-555-0188", "(523) 555 0188", "+1 523.555.0188", "1-523-555-0188", "523-555-0188 ext 5")}) == 1
+    a, b, c = (Y.phone(v, b"k") for v in ("523-555-0188 ext 5", "523-555-0188 ext 6", "523-555-0188 x5"))
+    assert a != b and a[-1] == c[-1] and a[:12] == b[:12] == c[:12]
+    assert Y.phone("+44 (0)20 7946 0321", b"k").startswith("+44 (0)") and len({Y.phone(f"+49 30 {i:05d}", b"k") for i in range(2000)}) == 2000
+
+
+def test_dates_of_birth_are_redacted(spark):
+    df = spark.createDataFrame([(1, "Opened 2019-05-12. I was born on 12/03/1985.")], "id int, text string")
+    row = P.personal(df, ["id"], "text", None, b"k").first()
+    assert [f["kind"] for f in row["found"]] == ["date"] and "2019-05-12" in row["redacted"] and "12/03/1985" not in row["redacted"]
+    assert re.search(r"<date:\d\d/\d\d/\d{4}>", row["redacted"])
+    assert len(P.Finder(dates="all").find("Opened 2019-05-12. Born 12/03/1985.")) == 2 and P.Finder(dates=None).find("Born 12/03/1985.") == []
+    with pytest.raises(ValueError):
+        P.personal(df, ["id"], "text", None, None)
