@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kilnwork.functions.text import key_sum
@@ -27,8 +27,7 @@ def frequent_pairs(rows: DataFrame, support: int) -> DataFrame:
 def _grown(rows: DataFrame, sets: DataFrame, size: int, support: int) -> DataFrame:
     """Frequent itemsets of size + 1 from the frequent ones (array column items) of `size`.
 
-    Candidates join two sets that differ in their last item; each of their subsets must be frequent. A candidate is then looked
-    for in the baskets of its rarest item, by one join per other item.
+    Candidates join two sets that differ in their last item; each of their subsets must be frequent, then their baskets are counted.
     """
     head = lambda c: F.slice(c, 1, size - 1)
     l, r = sets.select(F.col("items").alias("l"), head("items").alias("h")), sets.select(F.col("items").alias("r"), head("items").alias("h"))
@@ -40,77 +39,92 @@ def _grown(rows: DataFrame, sets: DataFrame, size: int, support: int) -> DataFra
 
 def _supported(rows: DataFrame, sets: DataFrame, size: int, support: int) -> DataFrame:
     """items, n of those of the given sets (array column items, all of `size`) that are in at least `support` baskets."""
+    return _baskets_of(rows, sets, size).groupBy("items").agg(F.count("*").alias("n")).where(F.col("n") >= support)
+
+
+def _baskets_of(rows: DataFrame, sets: DataFrame, size: int) -> DataFrame:
+    """items, basket: the baskets that hold each of the given sets, looked for in those of its rarest item, by one join per other item."""
     frequency = rows.groupBy("item").agg(F.count("*").alias("n"))
     order = sets.select("items", F.explode("items").alias("item")).join(frequency, "item").groupBy("items").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "item"))), lambda s: s["item"]).alias("by"))
     found = order.withColumn("item", F.get("by", F.lit(0))).join(rows, "item").select("items", "by", "basket")
     for i in range(1, size):
         found = found.withColumn("item", F.get("by", F.lit(i))).join(rows, ["item", "basket"], "left_semi").drop("item")
-    return found.groupBy("items").agg(F.count("*").alias("n")).where(F.col("n") >= support)
+    return found.select("items", "basket")
+
 
+def frequent_itemsets(rows: DataFrame, support: int, least: Column | None = None) -> DataFrame:
+    """items (sorted array), size, n of all itemsets in at least `support` baskets, of every size: levels grow until one is empty.
 
-def frequent_itemsets(rows: DataFrame, support: int, max_size: int | None = None) -> DataFrame:
-    """items (sorted array), size, n of all itemsets in at least `support` baskets: of every size, or of up to max_size items."""
+    least: further bound of n that depends on the column items, for which every subset of a set that reaches it must reach it, too.
+    """
     rows = stage(rows, "baskets")
-    one = frequent_items(rows, support).select(F.array("item").alias("items"), "n")
-    levels = [one]
-    if max_size is None or max_size > 1:
-        levels.append(stage(frequent_pairs(rows, support).select(F.array("a", "b").alias("items"), "n"), "pairs"))
-    size = 1
-    while len(levels) > 1 and (max_size is None or len(levels) < max_size) and levels[-1].limit(1).count():
-        size += 1
+    enough = (lambda d: d.where(F.col("n") >= least)) if least is not None else (lambda d: d)
+    levels = [stage(enough(frequent_items(rows, support).select(F.array("item").alias("items"), "n")), "items")]
+    kept = rows.join(levels[0].select(F.col("items")[0].alias("item")), "item", "left_semi")
+    levels.append(stage(enough(frequent_pairs(kept, support).select(F.array("a", "b").alias("items"), "n")), "pairs"))
+    while levels[-1].limit(1).count():
         kept = rows.join(levels[-1].select(F.explode("items").alias("item")).distinct(), "item", "left_semi")
-        levels.append(stage(_grown(kept, levels[-1], size, support), "itemsets"))
+        levels.append(stage(enough(_grown(kept, levels[-1], len(levels), support)), "itemsets"))
     return reduce(DataFrame.unionByName, levels).select("items", F.size("items").alias("size"), "n")
 
 
-def partitioned_candidates(rows: DataFrame, support: int, chunks: int, max_size: int | None = None) -> DataFrame:
-    """Stage one: itemsets (of up to max_size items, if given) that reach the scaled support in some chunk of baskets: items, size.
+def _chunked(rows: DataFrame, chunks: int) -> DataFrame:
+    """With the chunk of each basket: (first + last character of its key) mod chunks, so it doesn't depend on Spark's partitions."""
+    return rows.withColumn("chunk", F.pmod(key_sum(F.col("basket")), F.lit(chunks)).cast("int"))
+
+
+def partitioned_candidates(rows: DataFrame, support: int, chunks: int) -> DataFrame:
+    """Stage one: itemsets of every size that reach the scaled support in some chunk of baskets: items, size.
 
-    A basket's chunk is (first + last character of its key) mod chunks, so the candidates don't depend on Spark's partitions.
-    The local threshold is floor(support * baskets of the chunk / all baskets), at least 1. Chunks without candidates add none.
+    The local threshold is floor(support * baskets of the chunk / all baskets), at least 1. Chunks without candidates add none. All
+    chunks are mined by the same jobs: an item counts as another one in every chunk, and each chunk has its own threshold.
     """
-    rows = rows.withColumn("chunk", F.pmod(key_sum(F.col("basket")), F.lit(chunks)))
-    sizes = rows.groupBy("chunk").agg(F.count_distinct("basket").alias("part"))
-    total = sizes.agg(F.sum("part").alias("total"))
-    limits = stage(sizes.join(F.broadcast(total)).select("chunk", F.greatest(F.floor(F.lit(support) * F.col("part") / F.col("total")), F.lit(1)).alias("least")), "limits")
-    found = []
-    for chunk, least in limits.collect():  # one row a chunk
-        found.append(frequent_itemsets(rows.where(F.col("chunk") == chunk).select("basket", "item"), int(least), max_size).select("items"))
-    if not found:
+    cut = stage(_chunked(rows, chunks), "chunks")
+    sizes = {r[0]: r[1] for r in cut.groupBy("chunk").agg(F.count_distinct("basket")).collect()}  # a row a chunk
+    if not sizes:
         return rows.select(F.array("item").alias("items")).limit(0).select("items", F.size("items").alias("size"))
-    return reduce(DataFrame.unionByName, found).distinct().select("items", F.size("items").alias("size"))
+    total = sum(sizes.values())
+    least = {c: max(support * n // total, 1) for c, n in sizes.items()}
+    width = len(str(chunks))
+    own = cut.select("basket", F.concat(F.lpad(F.col("chunk").cast("string"), width, "0"), "item").alias("item"))
+    bound = F.create_map(*[F.lit(x) for c, n in least.items() for x in (str(c).zfill(width), n)])[F.substring(F.col("items")[0], 1, width)]
+    found = frequent_itemsets(own, min(least.values()), bound)
+    return found.select(F.transform("items", lambda x: F.substring(x, F.lit(width + 1), F.length(x))).alias("items"), "size").distinct()
+
+
+def candidate_counts(rows: DataFrame, candidates: DataFrame, chunks: int) -> DataFrame:
+    """Stage two within each chunk: chunk, items, n of every candidate (items, size) that its baskets hold."""
+    rows, candidates = stage(_chunked(rows, chunks), "chunks"), stage(candidates, "candidates")
+    sizes = sorted(r[0] for r in candidates.select("size").distinct().collect())  # one row a size
+    if not sizes:
+        return rows.select("chunk", F.array("item").alias("items"), F.lit(1).cast("long").alias("n")).limit(0)
+    found = [_baskets_of(rows, candidates.where(F.col("size") == size).select("items"), size) for size in sizes]
+    return reduce(DataFrame.unionByName, [f.join(rows.select("basket", "chunk").distinct(), "basket").groupBy("chunk", "items").agg(F.count("*").alias("n")) for f in found])
 
 
 def partitioned_itemsets(rows: DataFrame, support: int, chunks: int) -> DataFrame:
-    """items, size, n of all itemsets in at least `support` baskets, by both stages: the chunks' candidates are counted over all baskets.
+    """items, size, n of all itemsets in at least `support` baskets, by both stages: the chunks' candidates, counted in every chunk, summed.
 
     A set that falls short of the scaled support in every chunk falls short of the support, so none is lost.
     """
     rows = stage(rows, "baskets")
-    candidates = stage(partitioned_candidates(rows, support, chunks), "candidates")
-    sizes = sorted(r[0] for r in candidates.select("size").distinct().collect())  # one row a size
-    if not sizes:
-        return candidates.select("items", "size", F.lit(0).cast("long").alias("n"))
-    counted = [_supported(rows, candidates.where(F.col("size") == size).select("items"), size, support) for size in sizes]
-    return reduce(DataFrame.unionByName, counted).select("items", F.size("items").alias("size"), "n")
+    counts = candidate_counts(rows, partitioned_candidates(rows, support, chunks), chunks)
+    return counts.groupBy("items").agg(F.sum("n").alias("n")).where(F.col("n") >= support).select("items", F.size("items").alias("size"), "n")
 
 
-def fp_growth(rows: DataFrame, support: int, max_size: int | None = None) -> DataFrame:
-    """The same itemsets by FP-growth (items of each set sorted)."""
+def fp_growth(rows: DataFrame, support: int) -> DataFrame:
+    """The same itemsets by FP-growth (items of each set sorted). Its model takes each basket's frequent items as one array."""
     from pyspark.ml.fpm import FPGrowth
 
     kept = rows.join(frequent_items(rows, support).select("item"), "item", "left_semi")
-    total = rows.select("basket").distinct().count()
-    arrays = kept.groupBy("basket").agg(F.collect_list("item").alias("items"))
+    arrays = stage(kept.groupBy("basket").agg(F.collect_list("item").alias("items")), "transactions")
     held = arrays.count()
     if not held:
         return rows.sparkSession.createDataFrame([], "items array<string>, size int, n long")
     # the model's threshold is ceil(minSupport * baskets seen): half a basket less keeps floats from rounding it up
     model = FPGrowth(itemsCol="items", minSupport=max(support - 0.5, 0) / held, minConfidence=1.0).fit(arrays)
-    del total
     sets = model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("n"))
-    kept = sets if max_size is None else sets.where(F.size("items") <= max_size)
-    return kept.select("items", F.size("items").alias("size"), "n")
+    return sets.select("items", F.size("items").alias("size"), "n")
 
 
 def agreement(one: DataFrame, other: DataFrame) -> DataFrame:

@@ -5,26 +5,18 @@ The streaming forms in kilnwork.streaming share these functions.
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kilnwork.functions.text import id_number, trailing_zeros
+from kilnwork.functions.text import affine, coefficients, halves, id_number, trailing_zeros
 
-#: Modulus of the hashes: 2^31 - 1.
-P = 2147483647
 BITS_PER_KEY, BLOOM_HASHES, FM_HASHES, FM_GROUPS = 10, 7, 60, 6
 
 
-def coefficients(k: int, seed: int = 2021) -> list[tuple[int, int]]:
-    draw = random.Random(seed)
-    return [(draw.randrange(1, 1 << 20), draw.randrange(1 << 20)) for _ in range(k)]
-
-
 def hashes(x: Column, k: int) -> Column:
-    """Array of k affine hashes of a number below 2^28."""
-    return F.array(*[(x * a + b) % P for a, b in coefficients(k)])
+    """Array of k affine hashes of a number below 2^60, each below 2^61."""
+    high, low = halves(x)
+    return F.array(*[affine(high, low, a, b) for a, b in coefficients(k)])
 
 
 def bloom_bits(df: DataFrame, key: str, k: int = BLOOM_HASHES, bits: int = BITS_PER_KEY) -> tuple[DataFrame, int]:
@@ -56,20 +48,28 @@ def window_counts(df: DataFrame, ts: str, key: str, length: str, slide: str) ->
     return df.groupBy(hopping(F.col(ts), length, slide).alias("w")).agg(F.count("*").alias("n"), F.count_distinct(key).alias("users")).select(F.col("w.start").alias("start"), "n", "users")
 
 
+def fm_zeros(rows: DataFrame, group: str, more: list[Column] | None = None, k: int = FM_HASHES) -> DataFrame:
+    """group, zeros (array of k): the greatest number of trailing zeros of each hash of the numbers x; and further aggregates."""
+    high, low = halves(F.col("x"))
+    rows = rows.withColumns({"__high": high, "__low": low})
+    tops = [F.max(trailing_zeros(affine(F.col("__high"), F.col("__low"), a, b))).alias(f"__z{i}") for i, (a, b) in enumerate(coefficients(k))]
+    found = rows.groupBy(group).agg(*(more or []), *tops)
+    return found.withColumn("zeros", F.array(*[F.coalesce(f"__z{i}", F.lit(0)) for i in range(k)])).drop(*[f"__z{i}" for i in range(k)])
+
+
 def fm_sketch(df: DataFrame, ts: str, key: Column, length: str, slide: str, k: int = FM_HASHES) -> DataFrame:
     """start, and the greatest number of trailing zeros of each hash over the window (zeros: array of k). Merges by maximum."""
     rows = df.select(hopping(F.col(ts), length, slide).alias("w"), id_number(key).alias("x")).where("x is not null")
-    tops = [F.max(trailing_zeros((F.col("x") * a + b) % P)).alias(f"z{i}") for i, (a, b) in enumerate(coefficients(k))]
-    return rows.groupBy("w").agg(*tops).select(F.col("w.start").alias("start"), F.array(*[f"z{i}" for i in range(k)]).alias("zeros"))
+    return fm_zeros(rows, "w", k=k).select(F.col("w.start").alias("start"), "zeros")
 
 
 def fm_estimate(sketch: DataFrame, groups: int = FM_GROUPS) -> DataFrame:
-    """start, estimate: the median over `groups` groups of hashes of the mean of 2^zeros, as a whole number."""
+    """The sketch's columns with estimate in place of zeros: the median over `groups` groups of hashes of the mean of 2^zeros, as a whole number."""
     k = FM_HASHES
     means = [sum((F.pow(F.lit(2.0), F.get("zeros", F.lit(i))) for i in range(g, k, groups)), F.lit(0.0)) / len(range(g, k, groups)) for g in range(groups)]
     ordered = F.array_sort(F.array(*means))
     middle = (F.get(ordered, F.lit((groups - 1) // 2)) + F.get(ordered, F.lit(groups // 2))) / 2
-    return sketch.select("start", F.floor(middle).cast("long").alias("estimate"))
+    return sketch.withColumn("estimate", F.floor(middle).cast("long")).drop("zeros")
 
 
 def bottom_sample(df: DataFrame, key: str, n: int) -> DataFrame:

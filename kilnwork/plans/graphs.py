@@ -29,8 +29,11 @@ l{i + 1} AS (SELECT src id, min(label) label FROM v{i} WHERE (src, n) IN (SELECT
 )
 _PT = "pt AS (SELECT vec_id id, label, embedding::DOUBLE[] x FROM embeddings)"
 _DIST = "list_distance({}, {})"
-_KM = _PT + f", c0 AS (SELECT (row_number() OVER (ORDER BY id) - 1)::INTEGER cluster, x c FROM (SELECT * FROM pt ORDER BY id LIMIT {CLUSTERS}))"
-_ASSIGN = "a{1} AS (SELECT id, x, arg_min(cluster, (round(list_distance(x, c), 9), cluster)) cluster FROM pt CROSS JOIN c{0} GROUP BY 1, 2)"
+_KM = "WITH " + _PT + f", c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY md5(id::VARCHAR || ':2021'), id) - 1)::INTEGER cluster, x c FROM (SELECT * FROM pt ORDER BY md5(id::VARCHAR || ':2021'), id LIMIT {CLUSTERS}))"
+_ASSIGN = ", a{0} AS MATERIALIZED (SELECT id, x, arg_min(cluster, (round(list_distance(x, c), 9), cluster)) cluster FROM pt CROSS JOIN c{0} GROUP BY 1, 2)"
+_NEXT = """, c{1} AS MATERIALIZED (SELECT c{0}.cluster, coalesce(n, c{0}.c) c FROM c{0} LEFT JOIN (SELECT cluster, list(v ORDER BY dim) n FROM
+(SELECT cluster, dim, avg(v) v FROM (SELECT cluster, unnest(x) v, generate_subscripts(x, 1) dim FROM a{0}) GROUP BY 1, 2) GROUP BY 1) USING (cluster))"""
+ROUNDS = 10
 _M = ", m AS (SELECT label cluster, dim - 1 dim, count(*) n, sum(v) total, sum(v * v) squares FROM (SELECT label, unnest(x) v, generate_subscripts(x, 1) dim FROM pt) GROUP BY 1, 2)"
 
 
@@ -92,9 +95,9 @@ def register(out: Registry) -> None:
         centers = K.summaries(points).select("cluster", "center")
         return points.join(F.broadcast(centers), "cluster").select(F.col("id").alias("vec_id"), F.round(K.distance(F.col("features"), F.col("center")), 4).alias("dist"))  # a row a label
 
-    @q("kmeans_assign", "WITH " + _KM + ", " + _ASSIGN.format(0, 1) + """, c1 AS (SELECT cluster, list(v ORDER BY dim) c FROM (SELECT cluster, dim, avg(v) v FROM (SELECT cluster, unnest(x) v, generate_subscripts(x, 1) dim FROM a1) GROUP BY 1, 2) GROUP BY 1), """ + _ASSIGN.format(1, 2) + " SELECT id vec_id, cluster FROM a2")
+    @q("kmeans_assign", _KM + "".join(_ASSIGN.format(i) + _NEXT.format(i, i + 1) for i in range(ROUNDS)) + _ASSIGN.format(ROUNDS) + f" SELECT id vec_id, cluster FROM a{ROUNDS}")
     def _(s, d):
-        return K.kmeans(_points(s, d).drop("cluster"), CLUSTERS, rounds=1).select(F.col("id").alias("vec_id"), "cluster")
+        return K.kmeans(_points(s, d).drop("cluster"), CLUSTERS, ROUNDS, 0.0).select(F.col("id").alias("vec_id"), "cluster")
 
     @q("cluster_moments", "WITH " + _PT + _M + " SELECT cluster, dim::INTEGER dim, n, round(total, 4) total, round(squares, 4) squares FROM m")
     def _(s, d):

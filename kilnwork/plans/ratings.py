@@ -5,30 +5,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kilnwork.operators import ratings as C
-from kilnwork.operators import similarity as S
 from kilnwork.operators.pairs import common_counts
 from kilnwork.plans.registry import Registry
 from kilnwork.sources.staging import stage
 from kilnwork.sources.tables import table
 
-N, BANDS = 32, 16
 _R = """r AS (SELECT user_id u, business_id b, round(avg(stars) * 100)::BIGINT r FROM train_review
         WHERE user_id <> '' AND business_id <> '' AND stars IS NOT NULL AND NOT isnan(stars) GROUP BY 1, 2)"""
 _CORR = """count(*) n, sum(x.r) sx, sum(y.r) sy, sum(x.r * x.r) sxx, sum(y.r * y.r) syy, sum(x.r * y.r) sxy"""
 _SIM = "a, b, round((n * sxy - sx * sy) / sqrt((n * sxx - sx * sx)::DOUBLE * (n * syy - sy * sy)::DOUBLE), 6) sim"
 _IM = f""", i0 AS (SELECT x.b a, y.b b, {_CORR} FROM r x JOIN r y ON x.u = y.u AND x.b < y.b GROUP BY 1, 2 HAVING count(*) >= 3),
 im AS (SELECT {_SIM} FROM i0 WHERE n * sxy - sx * sy > 0)"""
-_X = "('0x' || substr(md5({}), 1, 7))::BIGINT"
-_UM = (
-    f""", g AS (SELECT u id, {", ".join(f"min((x * {a} + {b}) % {S.P}) h{i}" for i, (a, b) in enumerate(S.coefficients(N)))} FROM (SELECT u, {_X.format("b")} x FROM r) GROUP BY 1),
-v AS ({" UNION ALL ".join(f"SELECT id, {k} band, concat_ws('_', h{2 * k}, h{2 * k + 1}) part FROM g" for k in range(BANDS))}),
-c AS (SELECT DISTINCT l.id id1, r.id id2 FROM v l JOIN v r ON l.band = r.band AND l.part = r.part AND l.id < r.id),
-z AS (SELECT u id, count(*) size FROM r GROUP BY 1),
-j AS (SELECT x.u id1, y.u id2, count(*) c FROM r x JOIN r y ON x.b = y.b AND x.u < y.u GROUP BY 1, 2),
-k AS (SELECT id1, id2 FROM c JOIN j USING (id1, id2) JOIN z p ON p.id = id1 JOIN z q ON q.id = id2 WHERE p.size >= 3 AND q.size >= 3 AND c / (p.size + q.size - c) >= 0.01),
-u0 AS (SELECT id1 a, id2 b, {_CORR} FROM k JOIN r x ON x.u = id1 JOIN r y ON y.u = id2 AND x.b = y.b GROUP BY 1, 2 HAVING count(*) >= 3),
-um AS (SELECT {_SIM} FROM u0 WHERE n * sxy - sx * sy > 0)"""
-)
+#: Users of 3 common businesses and a Jaccard similarity of 0.01, all of them: counted, not banded.
+LEAST_SIMILAR = 0.01
+_UM = f""", z AS (SELECT u id, count(*) size FROM r GROUP BY 1),
+u0 AS (SELECT x.u a, y.u b, {_CORR} FROM r x JOIN r y ON x.b = y.b AND x.u < y.u GROUP BY 1, 2 HAVING count(*) >= 3),
+um AS (SELECT {_SIM} FROM u0 JOIN z p ON p.id = a JOIN z q ON q.id = b WHERE n * sxy - sx * sy > 0 AND n / (p.size + q.size - n) >= {LEAST_SIMILAR})"""
 _T = ", t AS (SELECT DISTINCT user_id u, business_id b FROM review WHERE user_id <> '' AND business_id <> '')"
 
 
@@ -64,16 +56,7 @@ def _item_model(rows):
 
 
 def _user_model(rows):
-    enough = rows.groupBy("user").agg(F.count("*").alias("n")).where("n >= 3").select("user")
-    tokens = rows.select(F.col("user").alias("id"), F.col("business").alias("token"))
-    kept = tokens.join(enough.withColumnRenamed("user", "id"), "id", "left_semi")
-    near = S.verified(S.candidates(S.signatures(kept, N), 2, BANDS), kept, 0.01)
-    return stage(C.correlation_of(near.select("id1", "id2"), rows, "user", "business"), "user_model")
-
-
-def _whole_user_model(rows):
-    """Without banding: every pair of users with 3 common businesses and a Jaccard similarity of 0.01."""
-    return stage(C.correlation_model(rows, "user", "business", similar=0.01), "user_model")
+    return stage(C.correlation_model(rows, "user", "business", similar=LEAST_SIMILAR), "user_model")
 
 
 def _friends(rows):
@@ -130,18 +113,9 @@ def register(out: Registry) -> None:
         SELECT u "user", b business, round(stars::DOUBLE, 4) stars FROM o WHERE """
     )
 
-    @q("cf_user_model_all")
-    def _(s, d):
-        return _whole_user_model(_rows(s, d))
-
-    @q("cf_user_predict_all")
-    def _(s, d):
+    def blend(s, d):
         rows = _rows(s, d)
-        return C.predictions(_pairs(s, d), rows, _whole_user_model(rows), "user", "business")
-
-    def blend(s, d, model=_user_model):
-        rows = _rows(s, d)
-        return C.hybrid(_pairs(s, d), rows, _item_model(rows), model(rows), C.averages(rows, "user"), C.averages(rows, "business"), _friends(rows))
+        return C.hybrid(_pairs(s, d), rows, _item_model(rows), _user_model(rows), C.averages(rows, "user"), C.averages(rows, "business"), _friends(rows))
 
     @q("hybrid_predict", hybrid_sql + "seen")
     def _(s, d):
@@ -150,11 +124,3 @@ def register(out: Registry) -> None:
     @q("hybrid_cold_start", hybrid_sql + "NOT seen")
     def _(s, d):
         return blend(s, d).where("not seen").drop("seen")
-
-    @q("hybrid_predict_all")
-    def _(s, d):
-        return blend(s, d, _whole_user_model).where("seen").drop("seen")
-
-    @q("hybrid_cold_start_all")
-    def _(s, d):
-        return blend(s, d, _whole_user_model).where("not seen").drop("seen")

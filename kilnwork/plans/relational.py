@@ -14,15 +14,19 @@ _WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\s\\x0
 _STRIP = "regexp_replace({}, '^[\\s\\x0B\\x{{85}}\\x{{A0}}\\x{{3000}}]+|[\\s\\x0B\\x{{85}}\\x{{A0}}\\x{{3000}}]+$', '', 'g')"
 _UB = "ub AS (SELECT DISTINCT user_id basket, business_id item FROM ub_sample_data WHERE user_id <> '' AND business_id <> '')"
 _PAIRS = "SELECT x.item a, y.item b, count(*) n FROM {0} x JOIN {0} y ON x.basket = y.basket AND x.item < y.item GROUP BY 1, 2"
-_ITEMSETS = (
-    "WITH " + _UB + f""",
-    one AS (SELECT item, count(*) n FROM ub GROUP BY 1 HAVING count(*) >= {SUPPORT}),
-    k AS (SELECT * FROM ub WHERE item IN (SELECT item FROM one)),
-    two AS ({_PAIRS.format("k")} HAVING count(*) >= {SUPPORT}),
-    p AS (SELECT x.basket, x.item a, y.item b FROM k x JOIN k y ON x.basket = y.basket AND x.item < y.item JOIN two ON two.a = x.item AND two.b = y.item),
-    three AS (SELECT p.a, p.b, q.b c, count(*) n FROM p JOIN p q ON p.basket = q.basket AND p.a = q.a AND p.b < q.b JOIN two ON two.a = p.b AND two.b = q.b GROUP BY 1, 2, 3 HAVING count(*) >= {SUPPORT})"""
-)
-_ALL_SETS = "SELECT item items, 1 size, n FROM one UNION ALL SELECT concat_ws(' ', a, b), 2, n FROM two UNION ALL SELECT concat_ws(' ', a, b, c), 3, n FROM three"
+
+
+def _mined(source: str, bound: str, by: str = "") -> str:
+    """Recursive part that mines itemsets of every size: mined(items, last, basket) over `source`(basket, item), by groups."""
+    keys = f"{by}, items" if by else "items"
+    extra, same = (f", {by}", f" AND k.{by} = l.{by}") if by else ("", "")
+    return f"""mined AS (SELECT [item] items, item last, basket{extra} FROM {source} QUALIFY count(*) OVER (PARTITION BY {by + ", " if by else ""}item) >= {bound}
+    UNION ALL SELECT * FROM (SELECT list_append(l.items, k.item) items, k.item AS last, l.basket{f", l.{by}" if by else ""} FROM mined l JOIN {source} k ON k.basket = l.basket AND k.item > l.last{same}) QUALIFY count(*) OVER (PARTITION BY {keys}) >= {bound})"""
+
+
+_SETS = "sets AS (SELECT array_to_string(items, ' ') items, len(items)::INTEGER size, count(*) n FROM mined GROUP BY mined.items)"
+_ITEMSETS = "WITH RECURSIVE " + _UB + ", " + _mined("ub", str(SUPPORT)) + ", " + _SETS
+_CHUNKS = 4
 
 
 def _joined(df):
@@ -123,60 +127,55 @@ def register(out: Registry) -> None:
     def _(s, d):
         return R.counted(R.larger_baskets(R.baskets(table(s, d, "ub_sample_data"), 1), 10), "basket", name="size")
 
-    @q("frequent_itemsets_1", _ITEMSETS + "SELECT item, n FROM one")
+    @q("frequent_itemsets_1", _ITEMSETS + " SELECT items AS item, n FROM sets WHERE size = 1")
     def _(s, d):
         return I.frequent_items(R.baskets(table(s, d, "ub_sample_data"), 1), SUPPORT)
 
-    @q("frequent_itemsets_2", _ITEMSETS + "SELECT a, b, n FROM two")
+    @q("frequent_itemsets_2", "WITH " + _UB + f" SELECT x.item a, y.item b, count(*) n FROM ub x JOIN ub y ON x.basket = y.basket AND x.item < y.item GROUP BY 1, 2 HAVING count(*) >= {SUPPORT}")
     def _(s, d):
         return I.frequent_pairs(R.baskets(table(s, d, "ub_sample_data"), 1), SUPPORT)
 
-    @q("frequent_itemsets_3", _ITEMSETS + "SELECT concat_ws(' ', a, b, c) items, 3 size, n FROM three")
-    def _(s, d):
-        return _joined(I.frequent_itemsets(R.baskets(table(s, d, "ub_sample_data"), 1), SUPPORT, 3).where("size = 3"))
+    for size in (3, 4):
 
-    @q(
-        "frequent_itemsets_prefiltered",
-        _ITEMSETS.replace("ub AS (", "ub0 AS (", 1).replace("one AS (", "ub AS (SELECT * FROM ub0 WHERE basket IN (SELECT basket FROM ub0 GROUP BY 1 HAVING count(*) > 10)), one AS (", 1) + _ALL_SETS,
-    )
+        @q(f"frequent_itemsets_{size}", _ITEMSETS + f" SELECT * FROM sets WHERE size = {size}")
+        def _(s, d, size=size):
+            return _joined(I.frequent_itemsets(R.baskets(table(s, d, "ub_sample_data"), 1), SUPPORT).where(F.col("size") == size))
+
+    larger = "larger AS (SELECT * FROM ub WHERE basket IN (SELECT basket FROM ub GROUP BY 1 HAVING count(*) > 10))"
+
+    @q("frequent_itemsets_prefiltered", "WITH RECURSIVE " + _UB + ", " + larger + ", " + _mined("larger", str(SUPPORT)) + ", " + _SETS + " SELECT * FROM sets")
     def _(s, d):
         rows = R.larger_baskets(R.baskets(table(s, d, "ub_sample_data"), 1), 10)
-        return _joined(I.frequent_itemsets(rows, SUPPORT, 3))
+        return _joined(I.frequent_itemsets(rows, SUPPORT))
+
+    chunked = f"""WITH RECURSIVE {_UB}, c0 AS (SELECT *, (ascii(basket) + ascii(right(basket, 1))) % {_CHUNKS} chunk FROM ub),
+        z AS (SELECT chunk, greatest(floor({_CHUNKS * SUPPORT} * count(DISTINCT basket) / (SELECT count(DISTINCT basket) FROM ub)), 1) least FROM c0 GROUP BY 1),
+        c AS (SELECT c0.*, least FROM c0 JOIN z USING (chunk)), """
+    local = _mined("c", "any_value(least) OVER (PARTITION BY chunk)", "chunk").replace("basket, chunk FROM c", "basket, chunk, least FROM c").replace("l.basket, l.chunk FROM", "l.basket, l.chunk, l.least FROM")
+    candidates = ", cand AS (SELECT DISTINCT items cand_items FROM mined)"
 
-    @q("frequent_itemsets_prefiltered_all")
+    @q("son_candidates", chunked + local + candidates + " SELECT array_to_string(cand_items, ' ') items, len(cand_items)::INTEGER size FROM cand")
     def _(s, d):
-        return _joined(I.frequent_itemsets(R.larger_baskets(R.baskets(table(s, d, "ub_sample_data"), 1), 10), SUPPORT))
+        return _joined(I.partitioned_candidates(R.baskets(table(s, d, "ub_sample_data"), 1), _CHUNKS * SUPPORT, _CHUNKS))
 
     @q(
-        "son_candidates",
-        "WITH " + _UB + f""", c AS (SELECT *, (ascii(basket) + ascii(right(basket, 1))) % 4 chunk FROM ub),
-        z AS (SELECT chunk, count(DISTINCT basket) part FROM c GROUP BY 1),
-        l AS (SELECT chunk, greatest(floor({4 * SUPPORT} * part / (SELECT sum(part) FROM z)), 1) least FROM z),
-        one AS (SELECT DISTINCT item FROM (SELECT chunk, item, count(*) n FROM c GROUP BY 1, 2) JOIN l USING (chunk) WHERE n >= least),
-        two AS (SELECT DISTINCT a, b FROM (SELECT x.chunk, x.item a, y.item b, count(*) n FROM c x JOIN c y ON x.basket = y.basket AND x.item < y.item GROUP BY 1, 2, 3) JOIN l USING (chunk) WHERE n >= least)
-        SELECT item items, 1 size FROM one UNION ALL SELECT concat_ws(' ', a, b), 2 FROM two""",
+        "son_candidate_counts",
+        chunked + local + candidates + """, held AS (SELECT cand_items, unnest(cand_items) item FROM cand)
+        SELECT chunk, array_to_string(cand_items, ' ') items, count(*) n FROM (SELECT chunk, cand_items, basket FROM held JOIN c0 USING (item) GROUP BY ALL HAVING count(*) = len(cand_items)) GROUP BY chunk, cand_items""",
     )
     def _(s, d):
-        return _joined(I.partitioned_candidates(R.baskets(table(s, d, "ub_sample_data"), 1), 4 * SUPPORT, 4, 2))  # singles and pairs, as its SQL has them
-
-    @q("son_itemsets")
-    def _(s, d):
-        return _joined(I.partitioned_itemsets(R.baskets(table(s, d, "ub_sample_data"), 1), 4 * SUPPORT, 4))
+        rows = R.baskets(table(s, d, "ub_sample_data"), 1)
+        return _joined(I.candidate_counts(rows, I.partitioned_candidates(rows, _CHUNKS * SUPPORT, _CHUNKS), _CHUNKS))
 
-    @q("fpgrowth_itemsets", _ITEMSETS + _ALL_SETS)
+    @q("son_itemsets", "WITH RECURSIVE " + _UB + ", " + _mined("ub", str(_CHUNKS * SUPPORT)) + ", " + _SETS + " SELECT * FROM sets")
     def _(s, d):
-        return _joined(I.fp_growth(R.baskets(table(s, d, "ub_sample_data"), 1), SUPPORT, 3))
+        return _joined(I.partitioned_itemsets(R.baskets(table(s, d, "ub_sample_data"), 1), _CHUNKS * SUPPORT, _CHUNKS))
 
-    @q("fpgrowth_itemsets_all")
+    @q("fpgrowth_itemsets", _ITEMSETS + " SELECT * FROM sets")
     def _(s, d):
         return _joined(I.fp_growth(R.baskets(table(s, d, "ub_sample_data"), 1), SUPPORT))
 
-    @q("miner_intersection", _ITEMSETS + f", a AS ({_ALL_SETS}) SELECT count(*) AS \"first\", count(*) AS \"second\", count(*) AS \"both\" FROM a")
-    def _(s, d):
-        rows = R.baskets(table(s, d, "ub_sample_data"), 1)
-        return I.agreement(I.frequent_itemsets(rows, SUPPORT, 3), I.fp_growth(rows, SUPPORT, 3))
-
-    @q("miner_intersection_all")
+    @q("miner_intersection", _ITEMSETS + ' SELECT count(*) AS "first", count(*) AS "second", count(*) AS "both" FROM sets')
     def _(s, d):
         rows = R.baskets(table(s, d, "ub_sample_data"), 1)
         return I.agreement(I.frequent_itemsets(rows, SUPPORT), I.fp_growth(rows, SUPPORT))

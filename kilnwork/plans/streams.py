@@ -4,23 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kilnwork.functions.text import NUMBER_SQL, affine_sql, coefficients
 from kilnwork.operators import sketch as K
 from kilnwork.plans.registry import Registry
 from kilnwork.sources.tables import table
 from kilnwork.streaming import streams as X
 
-LENGTH, SLIDE, LATE = "30 hours", "10 hours", "40 days"
-_X = "('0x' || substr(md5({}), 1, 7))::BIGINT"
+LENGTH, SLIDE, LATE = "30 hours", "10 hours", "1 hour"
 _W = """w AS (SELECT make_timestamp((k * 36000 * 1000000)::BIGINT) start, user_id, event_id FROM (
 SELECT *, unnest([floor(epoch(ts) / 36000)::BIGINT, floor(epoch(ts) / 36000)::BIGINT - 1, floor(epoch(ts) / 36000)::BIGINT - 2]) k FROM events WHERE ts IS NOT NULL))"""
-_Z = ", ".join(f"max(CASE WHEN (x * {a} + {b}) % {K.P} = 0 THEN 0 ELSE bit_count((((x * {a} + {b}) % {K.P}) & -((x * {a} + {b}) % {K.P})) - 1) END) z{i}" for i, (a, b) in enumerate(K.coefficients(K.FM_HASHES)))
-_FM = _W + f", x AS (SELECT start, {_X.format('user_id::VARCHAR')} x FROM w WHERE user_id IS NOT NULL), z AS (SELECT start, {_Z} FROM x GROUP BY 1)"
+_Z = ", ".join(f"max(CASE WHEN {h} = 0 THEN 0 ELSE bit_count(({h} & -{h}) - 1) END) z{i}" for i, h in enumerate(affine_sql("x", a, b) for a, b in coefficients(K.FM_HASHES)))
+_FM = _W + f", x AS (SELECT start, {NUMBER_SQL.format('user_id::VARCHAR')} x FROM w WHERE user_id IS NOT NULL), z AS (SELECT start, {_Z} FROM x GROUP BY 1)"
 _MEANS = ", ".join("(" + " + ".join(f"pow(2.0, z{i})" for i in range(g, K.FM_HASHES, K.FM_GROUPS)) + f") / {len(range(g, K.FM_HASHES, K.FM_GROUPS))}" for g in range(K.FM_GROUPS))
-_EST = _FM + f" SELECT start, floor(list_median([{_MEANS}]))::BIGINT estimate FROM z"
-_BITS = ", ".join(f"({{x}} * {a} + {b}) % {K.P} % (SELECT n FROM n)" for a, b in K.coefficients(K.BLOOM_HASHES))
+_MEDIAN = f"floor(list_median([{_MEANS}]))::BIGINT"
+_EST = _FM + f" SELECT start, {_MEDIAN} estimate FROM z"
+_BITS = ", ".join(affine_sql("{x}", a, b) + " % (SELECT n FROM n)" for a, b in coefficients(K.BLOOM_HASHES))
 _BLOOM = f"""f AS (SELECT DISTINCT city FROM business WHERE upper(state) = 'NV' AND city <> ''), n AS (SELECT greatest(count(*), 1) * {K.BITS_PER_KEY} n FROM f),
-b AS (SELECT DISTINCT unnest([{_BITS.format(x=_X.format("city"))}]) bit FROM f),
-c AS (SELECT DISTINCT coalesce(city, '') city FROM business), q AS (SELECT city, unnest([{_BITS.format(x=_X.format("city"))}]) bit FROM c WHERE city <> ''),
+b AS (SELECT DISTINCT unnest([{_BITS.format(x=NUMBER_SQL.format("city"))}]) bit FROM f),
+c AS (SELECT DISTINCT coalesce(city, '') city FROM business), q AS (SELECT city, unnest([{_BITS.format(x=NUMBER_SQL.format("city"))}]) bit FROM c WHERE city <> ''),
 h AS (SELECT city, min(CASE WHEN b.bit IS NULL THEN 0 ELSE 1 END) member FROM q LEFT JOIN b USING (bit) GROUP BY 1),
 m AS (SELECT city, coalesce(member, 0)::INTEGER member FROM c LEFT JOIN h USING (city))"""
 
@@ -41,6 +42,10 @@ def _stream(s, d):
     return X.table_stream(s, f"{d}/events.parquet").where("ts is not null").withColumn("ts", instant)
 
 
+def _windows(s, d):
+    return X.window_estimates(_stream(s, d), "ts", F.col("user_id").cast("string"), LENGTH, SLIDE, LATE)
+
+
 def _zoneless(df):
     return df.withColumn("start", F.expr("timestampadd(MICROSECOND, unix_micros(start), TIMESTAMP_NTZ '1970-01-01')"))
 
@@ -85,13 +90,25 @@ def register(out: Registry) -> None:
         counts = sample.select(F.get_json_object("props", "$.k").alias("tag")).where("tag is not null").groupBy("tag").agg(F.count("*").alias("n"))
         return K.top_dense(counts, "tag")
 
-    @q("stream_window_counts", "WITH " + _W + " SELECT start, count(*) n, count(DISTINCT user_id) users FROM w GROUP BY 1")
+    # what a stream gives out: the windows that the watermark closes
+    closed = "start + INTERVAL 30 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
+
+    @q("stream_window_counts", "WITH " + _W + f" SELECT start, count(*) n, count(DISTINCT user_id) users FROM w GROUP BY 1 HAVING {closed}")
+    def _(s, d):
+        return _zoneless(X.finished(_windows(s, d).select("start", "n", "users"), "windows"))
+
+    @q("stream_fm_estimate", "WITH " + _FM + f" SELECT start, {_MEDIAN} estimate FROM z WHERE {closed}")
     def _(s, d):
-        return _zoneless(X.finished(X.window_counts(_stream(s, d), "ts", "user_id", LENGTH, SLIDE, LATE), "windows", "complete"))
+        return _zoneless(X.finished(_windows(s, d).select("start", "estimate"), "fm"))
 
-    @q("stream_fm_estimate", "WITH " + _EST)
+    @q(
+        "stream_estimate_log",
+        "WITH " + _FM + f""" SELECT strftime(start, '%Y-%m-%d %H:%M:%S') "Time", users "Ground Truth", {_MEDIAN} "Estimation"
+        FROM z JOIN (SELECT start, count(DISTINCT user_id) users FROM w GROUP BY 1) USING (start) WHERE {closed}""",
+    )
     def _(s, d):
-        return _zoneless(X.finished(X.fm_windows(_stream(s, d), "ts", F.col("user_id").cast("string"), LENGTH, SLIDE, LATE), "fm", "complete"))
+        log = X.written(lambda path: X.estimate_log(_stream(s, d), "ts", F.col("user_id").cast("string"), LENGTH, SLIDE, LATE, path), s, "log")
+        return s.read.schema("`Time` string, `Ground Truth` long, `Estimation` long").option("header", True).csv(log).select("`Time`", "`Ground Truth`", "`Estimation`")
 
     @q("stream_bloom", "WITH " + _BLOOM + " SELECT business_id, city, CASE WHEN coalesce(city, '') = '' THEN 0 ELSE member END member FROM business LEFT JOIN m USING (city)")
     def _(s, d):
@@ -100,7 +117,14 @@ def register(out: Registry) -> None:
         rows = X.table_stream(s, f"{d}/business.parquet").select("business_id", "city")
         return X.finished(X.bloom_filtered(rows, "city", bits, size), "bloom")
 
-    @q("stream_reservoir")
+    @q("stream_reservoir", "SELECT event_id::VARCHAR item FROM (SELECT DISTINCT event_id FROM events WHERE ts IS NOT NULL) ORDER BY md5(event_id::VARCHAR) LIMIT 100")
+    def _(s, d):
+        return X.held_by(X.finished(X.reservoir(_stream(s, d), "event_id", 100), "reservoir")).select("item")
+
+    sampled = "t AS (SELECT props->>'$.k' tag, count(*) n FROM (SELECT * FROM events WHERE ts IS NOT NULL AND props->>'$.k' IS NOT NULL ORDER BY md5(event_id::VARCHAR), event_id LIMIT 100) GROUP BY 1)"
+
+    @q("stream_top_tags", "WITH " + sampled + ', r AS (SELECT tag, n, dense_rank() OVER (ORDER BY n DESC)::INTEGER "rank" FROM t) SELECT * FROM r WHERE "rank" <= 3')
     def _(s, d):
-        changes = X.finished(X.reservoir(_stream(s, d), "event_id", 100), "reservoir")
-        return X.held_by(changes)
+        out = X.written(lambda path: X.tag_snapshots(_stream(s, d), "event_id", F.get_json_object("props", "$.k"), path), s, "tags")
+        sample = X.held_by(s.read.schema("hash string, item string, value string").parquet(f"{out}/sample"))
+        return K.top_dense(sample.groupBy(F.col("value").alias("tag")).agg(F.count("*").alias("n")), "tag")

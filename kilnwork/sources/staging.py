@@ -6,7 +6,7 @@ not repeat the steps before it. Files go below ``spark.checkpoint.dir`` and are
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -14,18 +14,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is set, as in tests on one machine, a temporary one."""
+    """The cluster's shared folder; where none is set, on one machine a temporary one, on a cluster an error."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         own = getattr(shared_dir, "own", None)
         if own is None:
             own = shared_dir.own = tempfile.mkdtemp(prefix="kilnwork-")
-            _delete_on_exit(spark, own)
+            delete_on_exit(spark, own)
         known = own
     return known.rstrip("/")
 
 
-def _delete_on_exit(spark: SparkSession, path: str) -> None:
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Delete what is at a path when the JVM ends."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
 
@@ -35,16 +38,31 @@ def stage(df: DataFrame, label: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _delete_on_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    delete_on_exit(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
 
 
-def mounted_dir(spark: SparkSession, label: str) -> str | None:
-    """A folder below the shared one for a task's own scratch files, as a path; None where it isn't mounted as one."""
+def release(*tables: DataFrame | None) -> None:
+    """Delete staged tables that nothing reads any more, as those of a loop's step before the last."""
+    for df in tables:
+        path = getattr(df, "_staged", None)
+        if path:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def mounted_dir(spark: SparkSession, label: str) -> str:
+    """Name of a folder below the shared one for tasks' own scratch files, as a path; the shared folder must be mounted. Tasks make it."""
     scheme, _, rest = shared_dir(spark).rpartition("://") if "://" in shared_dir(spark) else ("file", "", shared_dir(spark).removeprefix("file:"))
     if scheme not in ("", "file"):
-        return None
+        raise ValueError("scratch files need a shared folder that is mounted as a path")
     path = f"{rest}/{label}-{uuid.uuid4().hex}"
-    os.makedirs(path, exist_ok=True)
-    _delete_on_exit(spark, f"file:{path}")
+    delete_on_exit(spark, f"file:{path}")
     return path

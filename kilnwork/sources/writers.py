@@ -67,11 +67,26 @@ def cluster_map(df: DataFrame, path: str) -> None:
     df.orderBy("id").write.mode("overwrite").json(path)
 
 
-def append_estimates(truth: DataFrame, estimate: DataFrame, path: str) -> None:
-    """Append Time,Ground Truth,Estimation rows of windows: for foreachBatch."""
+def estimate_lines(windows: DataFrame) -> DataFrame:
+    """Time, Ground Truth, Estimation of windows (start, users, estimate)."""
     time, exact, guess = ESTIMATE_COLUMNS
-    both = truth.join(estimate, "start").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias(time), F.col("users").alias(exact), F.col("estimate").alias(guess))
-    both.write.mode("append").option("header", True).csv(path)
+    return windows.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias(time), F.col("users").alias(exact), F.col("estimate").alias(guess))
+
+
+def json_object(df: DataFrame, path: str, key: str, value: str, one_file: int = 1_000_000) -> None:
+    """One JSON object of key: value, in order of the key; null keys are left out.
+
+    Up to `one_file` rows make one file; more make several, whose texts in order of their names are the object.
+    """
+    inner = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")  # noqa: E731  as JSON has it, without the array's brackets
+    body = df.where(F.col(key).isNotNull()).select(F.lit(1).alias("at"), F.col(key).cast("string").alias("key"), F.concat(inner(F.col(key).cast("string")), F.lit(":"), inner(F.col(value))).alias("value"))
+    number = body.count()
+    ends = df.sparkSession.createDataFrame([(0, "", "{"), (2, "", "}")], "at int, key string, value string")
+    last = body.agg(F.max("key").alias("key")).first()["key"]
+    comma = F.when((F.col("at") == 1) & (F.col("key") != F.lit(last)), F.concat("value", F.lit(","))).otherwise(F.col("value"))
+    lines = ends.unionByName(body).select("at", "key", comma.alias("value"))
+    ordered = lines.coalesce(1).sortWithinPartitions("at", "key") if number <= one_file else lines.orderBy("at", "key")
+    ordered.select("value").write.mode("overwrite").text(path)
 
 
 def tag_snapshot(ranked: DataFrame, total: int) -> DataFrame:

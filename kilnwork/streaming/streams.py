@@ -1,20 +1,28 @@
-"""Structured Streaming forms: sources, hopping windows with watermarks, Flajolet-Martin windows, Bloom filtering, a reservoir.
+"""Structured Streaming forms: sources, hopping windows with watermarks, Flajolet-Martin windows, Bloom filtering, a sample and its tags.
 
-Every function takes a streaming DataFrame and gives one, or the writer that ends it; state is bounded by watermark, by the number
-of hashes or by the size of the reservoir. Credentials and addresses of live sources come from the caller.
+Every function takes a streaming DataFrame and gives one, or the writer that ends it. State is bounded: windows are given out and
+dropped once the watermark has passed their end (append mode), a sample holds its size a part. Credentials and addresses of live
+sources come from the caller.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kilnwork.functions.text import id_number
-from kilnwork.operators.sketch import BLOOM_HASHES, fm_estimate, fm_sketch, hashes, hopping
+from kilnwork.operators.sketch import BLOOM_HASHES, fm_estimate, fm_zeros, hashes, hopping, top_dense
+from kilnwork.sources.staging import delete_on_exit, shared_dir
+from kilnwork.sources.writers import estimate_lines, tag_snapshot
+
+#: Set bits of a Bloom filter that go to every task as a map.
+MOST_BITS = 5_000_000
 
 
 def socket_lines(spark: SparkSession, host: str, port: int) -> DataFrame:
@@ -22,8 +30,11 @@ def socket_lines(spark: SparkSession, host: str, port: int) -> DataFrame:
     return spark.readStream.format("socket").option("host", host).option("port", port).load()
 
 
-def table_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """A Parquet table, a folder or a single file, as a stream of its files; the schema is that of what is there."""
+def table_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """A Parquet table, a folder or a single file, as a stream of its files; the schema is that of what is there.
+
+    Files of one batch can't be late for one another, those of a later batch can.
+    """
     reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
@@ -43,23 +54,32 @@ def tracked(statuses: DataFrame, text: str, lang: str, track: list[str], languag
     return statuses.where(F.col(lang).isin(languages) & mention)
 
 
-def window_counts(stream: DataFrame, ts: str, key: str, length: str, slide: str, late: str) -> DataFrame:
-    """start, n, users of each window; late rows are let in up to the watermark, then the window is closed and its state dropped."""
-    w = stream.withWatermark(ts, late).groupBy(hopping(F.col(ts), length, slide).alias("w"))
-    return w.agg(F.count("*").alias("n"), F.size(F.collect_set(key)).cast("long").alias("users")).select(F.col("w.start").alias("start"), "n", "users")
-
+def window_estimates(stream: DataFrame, ts: str, key: Column, length: str, slide: str, late: str) -> DataFrame:
+    """start, n, users (exact), estimate (Flajolet-Martin) of each window once it is closed: for append mode.
 
-def fm_windows(stream: DataFrame, ts: str, key: Column, length: str, slide: str, late: str) -> DataFrame:
-    """start, estimate: the batch sketch over a watermarked stream; the state is a number for each hash and open window."""
-    return fm_estimate(fm_sketch(stream.withWatermark(ts, late), ts, key, length, slide))
+    Rows are first counted by window and key, then the keys of a window: its state is a row a key, spread over all tasks, until the
+    watermark passes the window's end. Rows later than `late` behind the latest are dropped, nulls are no users.
+    """
+    w = stream.withWatermark(ts, late).groupBy(hopping(F.col(ts), length, slide).alias("w"), key.alias("key")).agg(F.count("*").alias("n"))
+    closed = fm_zeros(w.select("w", "n", "key", id_number(F.col("key")).alias("x")), "w", [F.sum("n").alias("n"), F.count("key").alias("users")])
+    return fm_estimate(closed.select(F.col("w.start").alias("start"), "n", "users", "zeros"))
 
 
 def bloom_filtered(stream: DataFrame, key: str, bits: DataFrame, size: int) -> DataFrame:
-    """The stream's rows with member 0 / 1, from a bit table small enough for the driver (checked)."""
-    most = 5_000_000
-    on = [r[0] for r in bits.limit(most + 1).collect()]
-    if len(on) > most:
-        raise ValueError("the filter is too large for a map in every task: join the bit table instead")
+    """The stream's rows with member 0 / 1.
+
+    A filter of up to MOST_BITS set bits goes to every task as a map (checked); with a larger one each key's hashes are joined with the
+    bit table, a static one, batch by batch.
+    """
+    on = [r[0] for r in bits.limit(MOST_BITS + 1).collect()]
+    if len(on) > MOST_BITS:
+        rows = stream
+        for i in range(BLOOM_HASHES):  # a left join a hash, so no row is split and no state is kept
+            at = bits.select(F.col("bit").alias("__bit"), F.lit(1).alias(f"__on{i}"))
+            rows = rows.withColumn("__bit", F.element_at(hashes(id_number(F.col(key)), BLOOM_HASHES), i + 1) % size).join(at, "__bit", "left").drop("__bit")
+        every = F.forall(F.array(*[F.col(f"__on{i}") for i in range(BLOOM_HASHES)]), lambda v: v.isNotNull())
+        member = F.when(F.coalesce(F.col(key), F.lit("")) == "", 0).otherwise(every.cast("int"))
+        return rows.withColumn("member", member).drop(*[f"__on{i}" for i in range(BLOOM_HASHES)])
     words: dict[int, int] = {}
     for b in on:
         words[b // 62] = words.get(b // 62, 0) | (1 << (b % 62))
@@ -70,50 +90,71 @@ def bloom_filtered(stream: DataFrame, key: str, bits: DataFrame, size: int) -> D
     return stream.crossJoin(F.broadcast(held)).withColumn("member", member).drop("__bits")  # one row
 
 
-def reservoir(stream: DataFrame, item: str, size: int = 100, seed: int = 0) -> DataFrame:
-    """seq, slot, item: the changes of a fixed-size uniform sample. The first `size` items fill it; item number n takes a random slot
-    with probability size / n. One key holds the state, `size` items, so the sample is one for the whole stream."""
-    import random
+def reservoir(stream: DataFrame, item: str, size: int = 100, value: Column | None = None, parts: int = 16) -> DataFrame:
+    """hash, item, value: what enters a uniform sample of `size` rows, of all that were seen.
+
+    The sample is that of the `size` least hashes of their items. Each of `parts` parts of the hashes keeps its own least ones as its
+    state, a batch at a time, and gives out those that enter; `held_by` takes the least of all parts, so no task sees the whole stream. Items
+    tell rows apart; a null item is none, an item seen twice enters once.
+    """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (seen,) = state.get if state.exists else (0,)
-        out = []
-        for pdf in batches:
-            for value in pdf["item"]:
-                draw = random.Random(f"{seed}:{seen}")
-                slot = seen if seen < size else (draw.randrange(size) if draw.random() * (seen + 1) < size else None)
-                seen += 1
-                if slot is not None:
-                    out.append((seen, slot, value))
-        state.update((seen,))
-        yield pd.DataFrame(out, columns=["seq", "slot", "item"])
+        least = list(state.get[0]) if state.exists else []
+        known = set(least)
+        new = pd.concat(list(batches)).sort_values("hash").drop_duplicates("hash")
+        new = new[~new["hash"].isin(known)].head(size)
+        if len(least) == size:
+            new = new[new["hash"] < least[-1]]
+        least = sorted([*least, *new["hash"]])[:size]
+        state.update((least,))
+        kept = set(least)
+        yield new[new["hash"].isin(kept)][["hash", "item", "value"]]
 
-    keyed = stream.select(F.col(item).cast("string").alias("item"), F.lit(0).alias("one")).where("item is not null")
-    return keyed.groupBy("one").applyInPandasWithState(step, "seq long, slot long, item string", "seen long", "append", GroupStateTimeout.NoTimeout)
+    text = F.col(item).cast("string")
+    keyed = stream.select(text.alias("item"), (value if value is not None else text).cast("string").alias("value")).where("item is not null").withColumn("hash", F.md5("item"))
+    return keyed.withColumn("part", F.pmod(F.xxhash64("hash"), F.lit(parts)).cast("int")).groupBy("part").applyInPandasWithState(step, "hash string, item string, value string", "least array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
-def held_by(changes: DataFrame) -> DataFrame:
-    """slot, item: what a reservoir holds after all its changes (a batch table of them)."""
-    return changes.groupBy("slot").agg(F.max_by("item", "seq").alias("item"))
+def held_by(changes: DataFrame, size: int = 100) -> DataFrame:
+    """item, value: the sample after all that entered it (a batch table of it)."""
+    return changes.dropDuplicates(["hash"]).orderBy("hash").limit(size).select("item", "value")
 
 
-def finished(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there, then stop: the result as a table in the shared folder.
+def tag_snapshots(stream: DataFrame, item: str, tag: Column, path: str, size: int = 100, ranks: int = 3) -> DataStreamWriter:
+    """A writer that, after every batch, counts the tags of a sample of `size` tagged rows and adds a snapshot of the most frequent.
 
-    In append mode it is written to files, exactly once; in complete and update mode the last version is written by batches.
+    Below `path`: `sample`, what entered the sample, and `snapshots`, the text of each batch, as sources.writers.tag_snapshot has it.
     """
-    import uuid
+    tagged = stream.where(tag.isNotNull())
+
+    def snapshot(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/sample/batch={number}")  # a repeated batch replaces itself
+        sample = held_by(spark.read.schema(batch.schema).parquet(f"{path}/sample"), size)
+        ranked = top_dense(sample.groupBy(F.col("value").alias("tag")).agg(F.count("*").alias("n")), "tag", ranks=ranks)
+        tag_snapshot(ranked, sample.count()).write.mode("overwrite").text(f"{path}/snapshots/batch={number}")
+
+    return reservoir(tagged, item, size, tag).writeStream.foreachBatch(snapshot)
+
 
-    from kilnwork.sources.staging import shared_dir
+def estimate_log(stream: DataFrame, ts: str, key: Column, length: str, slide: str, late: str, path: str) -> DataStreamWriter:
+    """A writer that appends Time, Ground Truth, Estimation of every window that a batch closes, as CSV below `path`."""
+    rows = window_estimates(stream, ts, key, length, slide, late)
+    return rows.writeStream.foreachBatch(lambda batch, number: estimate_lines(batch).write.mode("overwrite").option("header", True).csv(f"{path}/batch={number}"))
 
+
+def finished(stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream in append mode over all that is there, then stop: the result as a table in the shared folder, written exactly once."""
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
-    if mode == "append":
-        q = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
-    else:
-        q = (
-            stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/log").trigger(availableNow=True)
-            .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{base}/out")).start()
-        )
-    q.awaitTermination()
+    delete_on_exit(spark, base)
+    stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+def written(writer: Callable[[str], DataStreamWriter], spark: SparkSession, name: str) -> str:
+    """Run a writer that is made for a folder over all that is there, then stop: the folder, below the shared one."""
+    base = f"{shared_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    delete_on_exit(spark, base)
+    writer(f"{base}/out").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start().awaitTermination()
+    return f"{base}/out"

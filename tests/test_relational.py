@@ -83,7 +83,7 @@ def test_frequent_itemsets(baskets, rows):
 def test_partitioned_candidates_hold_all_frequent_sets(baskets):
     for chunks in (1, 2, 3):
         found = {tuple(r["items"]) for r in I.partitioned_candidates(baskets, 3, chunks).collect()}
-        assert {tuple(r["items"]) for r in I.frequent_itemsets(baskets, 3, 2).collect()} <= found
+        assert {tuple(r["items"]) for r in I.frequent_itemsets(baskets, 3).collect()} <= found
 
 
 def test_miners_agree(baskets, rows):

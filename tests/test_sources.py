@@ -53,3 +53,20 @@ def test_tag_snapshot(spark):
 def test_staged_tables_are_read_from_the_shared_folder(spark):
     df = staging.stage(spark.range(5).toDF("x"), "t")
     assert df.count() == 5 and staging.shared_dir(spark) in df.inputFiles()[0].replace("file:", "").replace("///", "/")
+
+
+def test_averages_as_one_object(spark, tmp_path):
+    df = spark.createDataFrame([('a"b', 1.5), ("c\\d", None), ("e", 2.0), (None, 3.0)], "k string, v double")
+    want = {'a"b': 1.5, "c\\d": None, "e": 2.0}
+    for name, limit in (("one", 10), ("many", 1)):
+        writers.json_object(df, str(tmp_path / name), "k", "v", limit)
+        assert json.loads("".join(f.read_text() for f in sorted((tmp_path / name).glob("part-*")))) == want
+    assert sorted(readers.json_map(spark, str(tmp_path / "one")).where("avg is not null").collect()) == [('a"b', 1.5), ("e", 2.0)]
+    writers.json_object(df.limit(0), str(tmp_path / "none"), "k", "v")
+    assert json.loads("".join(f.read_text() for f in sorted((tmp_path / "none").glob("part-*")))) == {}
+
+
+def test_released_tables_are_gone(spark):
+    df = staging.stage(spark.range(5).toDF("x"), "t")
+    staging.release(df, None, spark.range(1))
+    assert not staging._exists(spark, df._staged)
