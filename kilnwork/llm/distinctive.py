@@ -6,10 +6,11 @@ fixed point p(t) = max(0, n(t) / S - (1 - w) / w * background(t)), where S, the
 own, makes the p of a record sum to 1. Each sweep takes S from the terms still in the model and then drops those whose p is 0;
 it starts from all terms, the set only shrinks, and when it stays the same the probabilities are converged, exactly.
 
-Layout. One shuffle brings a record's texts together; records of more than `hot` texts are salted. Terms are counted while
-the texts stream through a task in record order, and a record is staged as one row with arrays. The background table is broadcast
-to the tasks that sweep if it has at most `limit` terms; then whole records are swept in numpy, a batch at a time. Salted
-records, and all records where the background is larger, are swept as rows (record, term) with one sum per record and sweep.
+Layout. One shuffle brings a record's texts together; records of more than `hot` texts are salted, whatever share of all they are.
+Terms are counted while the texts stream through a task in record order, and a record is staged as one row with arrays. Whole
+records are swept in numpy. If the background table has at most `limit` terms it is broadcast to the tasks that sweep; if it is
+larger, rows (record, term) are joined with it by term and brought back together by record, two shuffles for all sweeps. Only
+salted records are swept as rows, with one sum per record and sweep.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ from pyspark.sql import functions as F
 
 from kilnwork.llm.terms import one_each, terms
 from kilnwork.sources.bounds import BROADCAST_ROWS, small
-from kilnwork.sources.staging import stage
+from kilnwork.sources.staging import release, stage
 
 #: Weight of the record's own model.
 WEIGHT = 0.1
-#: Texts of a record from which it is salted: this many, or a thousandth of all if that is more.
+#: Texts of a record from which it is salted.
 HOT = 20_000
 OUT = "record string, term string, n long, in_parts long, records long, most long, parts long, p double"
 
@@ -114,23 +115,61 @@ def _swept(weight: float, total: int, vocabulary, min_in_parts: int, min_parts:
     return swept
 
 
+def _swept_sorted(weight: float, total: int, min_in_parts: int, min_parts: int):
+    """The same sweeps over rows (record, term, n, in_parts, records, occurrences, parts) that stand together by record."""
+
+    def rows_of(t: pa.Table, start: np.ndarray) -> pa.RecordBatch | None:
+        n, in_parts, records, occurrences, parts = (t[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("n", "in_parts", "records", "occurrences", "parts"))
+        size = np.diff(np.r_[start, t.num_rows])
+        record = np.repeat(np.arange(len(start)), size)
+        p = solve(n.astype(float), occurrences / total, record, len(start), weight)
+        most = np.maximum.reduceat(n, start)[record]
+        keep = np.flatnonzero((in_parts >= min_in_parts) & (parts >= min_parts))
+        if not len(keep):
+            return None
+        head = t.select(["record", "term"]).take(pa.array(keep)).combine_chunks()
+        return pa.RecordBatch.from_arrays(
+            [head["record"].combine_chunks(), head["term"].combine_chunks(), *map(pa.array, (n[keep], in_parts[keep], records[keep], most[keep], parts[keep], p[keep]))],
+            names=["record", "term", "n", "in_parts", "records", "most", "parts", "p"],
+        )
+
+    def swept(batches):
+        held: list[pa.RecordBatch] = []  # the last record seen, whose rows may go on
+        for b in batches:
+            if not b.num_rows:
+                continue
+            code = b.column("record").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            if held and b.column("record")[0] == held[-1].column("record")[held[-1].num_rows - 1] and code[-1] == code[0]:
+                held.append(b)  # all of one record: no need to look at it again
+                continue
+            t = pa.Table.from_batches([*held, b])
+            record = t["record"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            start = np.flatnonzero(np.r_[True, record[1:] != record[:-1]])
+            last = int(start[-1])
+            held = t.slice(last).to_batches()
+            if last and (out := rows_of(t.slice(0, last), start[:-1])) is not None:
+                yield out
+        if held and (out := rows_of(pa.Table.from_batches(held), np.zeros(1, np.int64))) is not None:
+            yield out
+
+    return swept
+
+
 def _swept_rows(flat: DataFrame, weight: float, total: int) -> DataFrame:
-    """The same sweeps over rows (record, term, n, background): adds p. One small table of sums per sweep."""
+    """The same sweeps over rows (record, term, n, occurrences): adds p. One table of sums per sweep, until no term is dropped."""
     c = (1 - weight) / weight
     flat = flat.withColumn("background", F.col("occurrences") / F.lit(float(total)))
-    mass, before = None, -1
-    for _ in range(100):  # the kept terms only shrink; each record is done after a few sweeps
+    old, mass, before = None, None, -1
+    while True:  # the kept terms only shrink
         rows = flat if mass is None else flat.join(mass, "record").where(F.col("n") / F.col("mass") > c * F.col("background"))
-        mass = stage(
-            rows.groupBy("record").agg((F.sum("n") / (1 + c * F.sum("background"))).alias("mass"), F.count("*").alias("kept")).select("record", "mass", "kept"),
-            "mass",
-        )
-        now = mass.agg(F.sum("kept")).first()[0]
-        kept_is, mass = mass, mass.select("record", "mass")
+        new = stage(rows.groupBy("record").agg((F.sum("n") / (1 + c * F.sum("background"))).alias("mass"), F.count("*").alias("kept")), "mass")
+        now = new.agg(F.sum("kept")).first()[0]
+        if old is not None:
+            release(old)
+        old, mass = new, new.select("record", "mass")
         if now == before:
             break
         before = now
-    del kept_is
     return flat.join(mass, "record").withColumn("p", F.greatest(F.col("n") / F.col("mass") - c * F.col("background"), F.lit(0.0))).drop("mass", "background")
 
 
@@ -144,14 +183,15 @@ def distinctive_terms(
     (greatest n of the record), parts (texts of the record, with or without terms), p. A record is made of the texts of all rows
     with its key; rows of one `part` id are copies, the first by `order` counts. Rows with a null record don't count, null and
     empty texts have no terms; an empty table has no rows. min_in_parts and min_parts leave out rows of the result only: counts
-    and probabilities always stand on all terms. Other columns are not read.
+    and probabilities always stand on all terms. Other columns are not read. limit: number of terms, and of salted records, that are
+    broadcast at most.
     """
     spark = df.sparkSession
     rows = df.select(F.col(record).cast("string").alias("record"), F.col(part).alias("part"), F.col(text).alias("text"), F.col(order).alias("order")).where("record is not null")
-    sizes = rows.groupBy("record").agg(F.count("*").alias("rows"))
-    threshold = max(hot, (rows.count()) // 1000)
-    large = [(r[0], -(-r[1] // threshold)) for r in sizes.where(F.col("rows") > threshold).collect()]  # fewer than 1,000 records
-    salted = rows.join(F.broadcast(spark.createDataFrame(large, "record string, salts int")), "record", "left") if large else rows.withColumn("salts", F.lit(None).cast("int"))
+    large = rows.groupBy("record").agg(F.count("*").alias("rows")).where(F.col("rows") > hot).select("record", F.ceil(F.col("rows") / hot).cast("int").alias("salts"))
+    large = stage(large, "large")
+    number = large.count()
+    salted = rows.join(small(large, number, limit), "record", "left") if number else rows.withColumn("salts", F.lit(None).cast("int"))
     salted = salted.withColumn("salt", F.pmod(F.xxhash64("part"), F.coalesce("salts", F.lit(1))).cast("int")).withColumn("hot", F.col("salts").isNotNull()).drop("salts")
     each = one_each(salted, ["order"], "part", ["record", "salt"]).select("record", "salt", "hot", terms(F.col("text"), stop).alias("terms"))
     documents = stage(
@@ -160,10 +200,10 @@ def distinctive_terms(
     cold = documents.where("not hot")
     flat = lambda d: d.select("record", "parts", F.explode(F.arrays_zip("term", "n", "in_parts")).alias("t")).select("record", "parts", "t.*")
     merged = None
-    if large:
+    if number:
         parts = documents.where("hot").groupBy("record").agg(F.sum("parts").alias("parts"))
         merged = flat(documents.where("hot")).groupBy("record", "term").agg(F.sum("n").alias("n"), F.sum("in_parts").alias("in_parts"))
-        merged = stage(merged.join(F.broadcast(parts), "record"), "merged")  # fewer than 1,000 records
+        merged = stage(merged.join(small(parts, number, limit), "record"), "merged")
     once = flat(cold).select("term", "n")
     if merged is not None:
         once = once.unionByName(merged.select("term", "n"))
@@ -173,18 +213,16 @@ def distinctive_terms(
     if not size:
         return spark.createDataFrame([], OUT), with_terms
 
-    by_rows = merged if size <= limit else (flat(cold) if merged is None else flat(cold).unionByName(merged.select("record", "parts", "term", "n", "in_parts")))
-    out = None
-    if by_rows is not None:
-        joined = stage(by_rows.join(small(vocabulary, size, limit), "term"), "background")
-        most = joined.groupBy("record").agg(F.max("n").alias("most"))
-        out = (
-            _swept_rows(joined, weight, total).where((F.col("in_parts") >= min_in_parts) & (F.col("parts") >= min_parts))
-            .join(most, "record").select("record", "term", "n", "in_parts", "records", "most", "parts", "p")
-        )
     if size <= limit:
         t = vocabulary.toArrow().combine_chunks()
         model = spark.sparkContext.broadcast((t["term"].combine_chunks().cast(pa.string()), t["occurrences"].to_numpy(), t["records"].to_numpy()))
-        fast = cold.mapInArrow(_swept(weight, total, model, min_in_parts, min_parts), OUT)
-        out = fast if out is None else fast.unionByName(out)
+        out = cold.mapInArrow(_swept(weight, total, model, min_in_parts, min_parts), OUT)
+    else:
+        known = flat(cold).join(vocabulary, "term").select("record", "term", "n", "in_parts", "records", "occurrences", "parts")
+        out = known.repartition("record").sortWithinPartitions("record").mapInArrow(_swept_sorted(weight, total, min_in_parts, min_parts), OUT)
+    if merged is not None:
+        joined = stage(merged.join(small(vocabulary, size, limit), "term"), "background")
+        most = joined.groupBy("record").agg(F.max("n").alias("most"))
+        by_rows = _swept_rows(joined, weight, total).where((F.col("in_parts") >= min_in_parts) & (F.col("parts") >= min_parts))
+        out = out.unionByName(by_rows.join(most, "record").select("record", "term", "n", "in_parts", "records", "most", "parts", "p"))
     return out, with_terms

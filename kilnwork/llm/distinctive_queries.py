@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kilnwork.llm.distinctive import distinctive_terms
+from kilnwork.llm.distinctive import WEIGHT, distinctive_terms
 from kilnwork.llm.heavy_queries import TERMS_SQL
 from kilnwork.llm.terms import stop_list
 from kilnwork.plans.registry import Registry
@@ -44,4 +44,17 @@ def register(out: Registry) -> None:
         o AS (SELECT business_id, term, row_number() OVER (PARTITION BY business_id ORDER BY score DESC, term) k FROM x JOIN b USING (business_id) WHERE c >= 2)
         SELECT business_id, term FROM o WHERE k <= 3""",
     )(p4_found)
-    out.add("p4_parsimonious")(p4_parsimonious)
+    # the fixed point in closed form: of the terms by falling n / background, the longest run whose last one still has p > 0
+    c = (1 - WEIGHT) / WEIGHT
+    out.add(
+        "p4_parsimonious",
+        "WITH " + TERMS_SQL + f""",
+        b AS (SELECT business_id FROM r WHERE business_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 5),
+        f AS (SELECT business_id, term, count(*) n, count(DISTINCT review_id) c FROM w WHERE business_id IS NOT NULL GROUP BY 1, 2),
+        d AS (SELECT term, count(*) records, sum(n) / (SELECT sum(n) FROM f) g FROM f GROUP BY 1),
+        x AS (SELECT f.*, records, g, n / g q, sum(n) OVER k / (1 + {c} * sum(g) OVER k) mass FROM f JOIN d USING (term) WINDOW k AS (PARTITION BY business_id ORDER BY n / g DESC)),
+        y AS (SELECT *, min(mass) FILTER (q > {c} * mass AND q = last) OVER (PARTITION BY business_id) m FROM (SELECT *, min(q) FILTER (q > {c} * mass) OVER (PARTITION BY business_id) AS last FROM x)),
+        z AS (SELECT business_id, term, n, c, records, n / m - {c} * g p FROM y WHERE q >= last),
+        o AS (SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY p DESC, term) place FROM z JOIN b USING (business_id) WHERE c >= 2 AND p > 0)
+        SELECT business_id, term, place::INTEGER place, n, records, round(p, 6) p FROM o WHERE place <= 5""",
+    )(p4_parsimonious)

@@ -6,8 +6,8 @@ a file of more than `LEAF` rows is split again by the bits below, and each leaf
 limit and its own spill folder. So memory depends on FLUSH, LEAF and the batch size only. Rows of one term can't be split by
 hash bits; after the last bits, or where a split leaves all rows together, DuckDB aggregates the file as it is, out of core.
 
-Files go below the cluster's shared folder where that is mounted as a path, else to the executor's own spill directory, into a
-folder that the task deletes when it ends; nothing outside the task reads them, so a lost executor loses no more than its tasks.
+Files go below the cluster's shared folder, which must be mounted as a path on every machine, into a folder that the task makes and
+deletes when it ends; nothing outside the task reads them, so a lost executor loses no more than its tasks.
 """
 
 from __future__ import annotations
@@ -111,10 +111,10 @@ def _leaves(spill: _Spill, folder: str, leaf: int):
             os.remove(path)
 
 
-def _totals(leaf: int, first_shift: int, shared: str | None):
+def _totals(leaf: int, first_shift: int, shared: str):
     def totals(batches):
-        where = shared or os.environ.get("SPARK_LOCAL_DIRS", os.environ.get("LOCAL_DIRS", "")).split(",")[0] or None
-        folder = tempfile.mkdtemp(prefix="radix-", dir=where)
+        os.makedirs(shared, exist_ok=True)
+        folder = tempfile.mkdtemp(prefix="radix-", dir=shared)
         try:
             spill = _Spill(folder, first_shift)
             for b in batches:
