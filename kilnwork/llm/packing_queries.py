@@ -8,13 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kilnwork.llm.mixing import mixed, rates, shares, sized_sources
-from kilnwork.llm.packing import filling, pack, sized
+from kilnwork.llm.packing import filling, invariants, pack, sized
 from kilnwork.plans.registry import Registry
+from kilnwork.sources.staging import stage
 from kilnwork.sources.tables import table
 
 
+#: Kinds of containers that are read to the driver at most; more are refused.
+MOST_KINDS = 10_000
+
+
 def _capacities(spark: SparkSession, folder: str) -> dict[str, int]:
-    rows = table(spark, folder, "container_sizes").limit(1000).collect()  # three kinds; more than 1,000 aren't expected
+    rows = table(spark, folder, "container_sizes").limit(MOST_KINDS + 1).collect()
+    if len(rows) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of containers")
     return {r["container_kind"]: r["capacity_tokens"] for r in rows}
 
 
@@ -31,6 +38,16 @@ def p8_filling(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionByName, each)
 
 
+def p8_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """For each kind of container, how many documents and rules that packing must keep are broken: a row of zeros is right."""
+    sizes = sized(table(spark, folder, "documents"), "doc_id", "text")
+    out = []
+    for kind, c in sorted(_capacities(spark, folder).items()):
+        packed = stage(pack(sizes, "doc_id", "n_tokens", c), "packed")
+        out.append(invariants(packed, sizes, "doc_id", "n_tokens", c).drop("tokens").withColumn("container_kind", F.lit(kind)))
+    return reduce(DataFrame.unionByName, out)
+
+
 def _rated(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     sizes = sized_sources(table(spark, folder, "documents"), "doc_id", "source", "text")
     return sizes, rates(sizes, table(spark, folder, "source_mix"))
@@ -52,5 +69,10 @@ def register(out: Registry) -> None:
     for kind in ("small", "large"):
         out.add(f"p8_pack_{kind}")(partial(p8_pack, kind=kind))
     out.add("p8_filling")(p8_filling)
+    out.add(
+        "p8_invariants",
+        """SELECT container_kind, (SELECT count(*) FROM documents WHERE text IS NOT NULL) items, 0::BIGINT over_capacity, 0::BIGINT misplaced, 0::BIGINT lost, 0::BIGINT doubled, 0 wasteful
+        FROM container_sizes""",
+    )(p8_invariants)
     out.add("p9_mix")(p9_mix)
     out.add("p9_shares")(p9_shares)

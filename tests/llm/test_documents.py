@@ -67,6 +67,24 @@ def test_pack_edges(spark):
         K.pack(empty, "id", "n", 0)
 
 
+def test_packing_a_million_items_in_bounded_partitions(spark):
+    from pyspark.sql import functions as F
+
+    sizes = spark.range(1_000_000).select(F.col("id"), (F.pmod(F.xxhash64("id"), F.lit(997)) + 3).alias("n"))
+    packed = K.pack(sizes, "id", "n", 2048, 128)
+    assert packed.rdd.getNumPartitions() <= 4 * K.TASKS_A_CORE  # some 1,900 shards
+    row = K.invariants(packed, sizes, "id", "n", 2048, 0.02).first()
+    assert row["items"] == 1_000_000 and tuple(row)[2:] == (0, 0, 0, 0, 0)
+
+
+def test_runs_are_placed_like_single_items():
+    draw = random.Random(5)
+    one, many = K.SumOfSquares(60), K.SumOfSquares(60)
+    for _ in range(200):
+        size, times = draw.randint(0, 60), draw.randint(1, 9)
+        assert many.place_run(size, times) == [one.place(size) for _ in range(times)]
+
+
 def test_sum_of_squares_takes_the_place_of_least_squares():
     draw, s = random.Random(3), K.SumOfSquares(20)
     gaps = []  # brute force: the gap of each container
