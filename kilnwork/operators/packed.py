@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kilnwork.sources.bounds import small
 from kilnwork.sources.staging import stage
 
 #: Candidate delimiters, name -> regular expression. A slash separates only between blanks.
@@ -16,16 +17,18 @@ DELIMITERS = {
 }
 
 _PLACE = r",;|\t\r\n，；、•"
-_OPENS = rf"(?<=(?:^|[{_PLACE}/\[])[ \t]{{0,8}})"
 _CLOSES = rf"(?=\s*(?:[{_PLACE}/\]]|$))"
-_DOUBLE = rf'{_OPENS}"(?:[^"\\]|\\.|"")*"{_CLOSES}'
-_SINGLE = rf"{_OPENS}'(?:[^'\\]|\\.|''|'(?!\s*(?:[{_PLACE}/\]]|$)))*'{_CLOSES}"
-_QUOTED = f"{_DOUBLE}|{_SINGLE}"
+#: Quoted values, without alternatives in their loops, so their length is free. A quote that no place follows belongs to the value.
+_DOUBLE = r'"[^"\\]*+(?:(?:\\[\s\S]|"")[^"\\]*+)*+"'
+_SINGLE = rf"'[^'\\]*+(?:(?:\\[\s\S]|''|'(?!\s*(?:[{_PLACE}/\]]|$)))[^'\\]*+)*+'"
+#: Groups: the place before a quoted value, blanks of any number, the value with its quotes.
+_QUOTED = rf"(^|[{_PLACE}/\[])(\s*+)({_DOUBLE}|{_SINGLE}){_CLOSES}"
 #: Characters of delimiters, and private-use twins that stand for them inside quoted values.
 _MARKS = ",;|\t\r\n，；、•/"
 _TWINS = "".join(chr(0xE010 + i) for i in range(len(_MARKS)))
-#: Private-use characters: in place of a quoted value, and around one that is put back.
-_HIDDEN, _FROM, _TO = "\ue000", "\ue001", "\ue002"
+#: Private-use characters: in place of a quoted value, around one that is put back, and before one that stood in the data.
+_HIDDEN, _FROM, _TO, _ESCAPE = "\ue000", "\ue001", "\ue002", "\ue003"
+_OWN = _ESCAPE + _HIDDEN + _FROM + _TO + _TWINS
 
 
 #: White space of any kind (fixed values).
@@ -48,9 +51,28 @@ def _unquoted(c: Column) -> Column:
 
 
 def _body(c: Column) -> Column:
-    """The field without blanks and one pair of brackets around it."""
+    """The field without blanks and one pair of brackets around it; characters of the data that are used here are escaped."""
     s = _strip(c)
-    return F.when(s.startswith("[") & s.endswith("]"), F.substring(s, F.lit(2), F.length(s) - 2)).otherwise(s)
+    s = F.when(s.startswith("[") & s.endswith("]"), F.substring(s, F.lit(2), F.length(s) - 2)).otherwise(s)
+    escaped = reduce(lambda e, i: F.replace(e, F.lit(_OWN[i]), F.lit(_ESCAPE + chr(ord("a") + i))), range(len(_OWN)), s)
+    return F.when(s.rlike(f"[{_OWN}]"), escaped).otherwise(s)
+
+
+def _restored(c: Column) -> Column:
+    """A value with what _body escaped."""
+    plain = reduce(lambda e, i: F.replace(e, F.lit(_ESCAPE + chr(ord("a") + i)), F.lit(_OWN[i])), reversed(range(len(_OWN))), c)
+    return F.when(c.contains(_ESCAPE), plain).otherwise(c)
+
+
+def _quotes(body: Column) -> Column:
+    """The quoted values of a body, bare."""
+    return F.transform(F.regexp_extract_all(body, F.lit(_QUOTED), F.lit(3)), _unquoted)
+
+
+def _shape(piece: Column) -> Column:
+    """The type of a piece: words, numbers and capitals as one sign each, other signs as they are."""
+    words = F.regexp_replace(piece, r"[\p{L}\p{M}&.'’\-]+(?:\s+[\p{L}\p{M}&.'’\-]+)*+", "w")
+    return F.substring(F.regexp_replace(words, r"[0-9]+", "9"), 1, 12)
 
 
 def _pieces(skeleton: Column, names: tuple[str, ...]) -> Column:
@@ -68,18 +90,19 @@ def _signature(skeleton: Column) -> Column:
 
 def _skeleton(body: Column) -> Column:
     """The body with every quoted value hidden; only a field with quotes is searched."""
-    return F.when(body.contains('"') | body.contains("'"), F.regexp_replace(body, _QUOTED, _HIDDEN)).otherwise(body)
+    return F.when(body.contains('"') | body.contains("'"), F.regexp_replace(body, _QUOTED, f"$1$2{_HIDDEN}")).otherwise(body)
 
 
 def infer_delimiters(df: DataFrame, value: str, source: str | None = None) -> DataFrame:
     """The delimiters of each source: columns source, signature, delimiters (space-separated names), score.
 
     The source is a column of df or, where it has none, the hand that packed the field, told by which candidates occur
-    outside quotes. Options for a source are all its candidates, all but one, and each alone. An option's score is the
-    regularity of its pieces (the share of pieces that are known single values: quoted ones, or pieces of fields with one
-    candidate only) plus a hundredth of the consistency of piece counts (1 / (1 + deviation / mean)); of equal options the one
-    with more delimiters wins. Nulls and blanks have no signature and no row. Only sums per source and option are shuffled,
-    and pieces for the lookup of known values.
+    outside quotes. Options for a source are all its candidates, all but one, each alone, and none. An option's score is
+    0.8 times the regularity of its pieces plus 0.2 times the consistency of their counts (1 / (1 + deviation / mean)). A piece
+    that is known as a single value (a quoted one, or a piece of a field with one candidate only) counts 1; another one counts half the
+    share that its type (`_shape`) has among single values, relative to the commonest type. Of equal options the one with more
+    delimiters wins. Nulls and blanks have no signature and no row. Only sums per source and option are shuffled, and distinct
+    pieces for the lookup of known values.
     """
     own = F.col(source).cast("string") if source else F.lit("")
     rows = (
@@ -91,40 +114,39 @@ def infer_delimiters(df: DataFrame, value: str, source: str | None = None) -> Da
     rows = stage(rows, "packed")
     single = F.coalesce(*[F.when(F.col("signature") == n, _pieces(F.col("skeleton"), (n,))) for n in DELIMITERS],
                         F.when(F.col("signature") == "", F.array("skeleton")), F.array().cast("array<string>"))
-    quoted = F.transform(F.regexp_extract_all("body", F.lit(f"({_QUOTED})"), F.lit(1)), _unquoted)
     known = (
-        rows.select(F.explode(F.concat(quoted, single)).alias("piece")).where(~F.col("piece").contains(_HIDDEN))
-        .groupBy("piece").agg(F.lit(1).alias("known"))
+        rows.select(F.explode(F.concat(F.when(F.col("skeleton").contains(_HIDDEN), _quotes(F.col("body"))).otherwise(F.array().cast("array<string>")), single)).alias("piece"), "n")
+        .where(~F.col("piece").contains(_HIDDEN)).groupBy("piece").agg(F.sum("n").alias("known")).withColumn("shape", _shape(F.col("piece")))
     )
+    known = stage(known, "known")
+    shapes = known.groupBy("shape").agg(F.sum("known").alias("usual"))
+    number, kinds = known.count(), shapes.count()
+    most = shapes.agg(F.max("usual")).first()[0] or 1
     mixed = rows.where(F.col("signature") != "")
     signatures = [r[0] for r in mixed.select("signature").distinct().limit(2 ** len(DELIMITERS)).collect()]  # at most as many subsets
     tried = []
     for s in signatures:
         names = tuple(s.split(" "))
-        options = dict.fromkeys([names, *[tuple(x for x in names if x != n) for n in names], *[(n,) for n in names]])
+        options = dict.fromkeys([names, *[tuple(x for x in names if x != n) for n in names], *[(n,) for n in names], ()])
         tried.append(
             F.when(F.col("signature") == s, F.array(*[F.struct(F.lit(" ".join(o)).alias("option"), F.lit(len(o)).alias("size"), _pieces(F.col("skeleton"), o).alias("pieces")) for o in options]))
         )
     if not tried:
         return rows.select("source", "signature", F.lit("").alias("delimiters"), F.lit(1.0).alias("score")).distinct()
-    cut = mixed.select("source", "signature", "n", F.explode(F.coalesce(*tried)).alias("o")).select("source", "signature", "n", "o.*")
-    counts = cut.groupBy("source", "signature", "option", "size").agg(
-        F.sum("n").alias("fields"), F.sum(F.size("pieces") * F.col("n")).alias("pieces"),
-        F.sum(F.size("pieces").cast("double") * F.size("pieces") * F.col("n")).alias("squares"),
-    )
-    seen = (
-        cut.select("source", "signature", "option", "n", F.explode("pieces").alias("piece"))
-        .groupBy("source", "signature", "option", "piece").agg(F.sum("n").alias("n"))
-        .join(known, "piece", "left")
-        .groupBy("source", "signature", "option")
-        .agg(F.sum(F.when(F.col("known").isNotNull() | F.col("piece").contains(_HIDDEN) & (F.length("piece") == 1), F.col("n")).otherwise(0)).alias("regular"))
+    cut = mixed.select("source", "signature", "n", F.explode(F.coalesce(*tried)).alias("o")).select("source", "signature", "n", "o.*").withColumn("count", F.size("pieces").cast("double"))
+    option = ["source", "signature", "option", "size"]
+    # every sum of an option is one over its pieces: their number, the fields they are of, the squares of the fields' numbers
+    seen = cut.select(*option, "n", "count", F.explode("pieces").alias("piece")).groupBy(*option, "piece").agg(
+        F.sum("n").alias("pieces"), F.sum(F.col("n") / F.col("count")).alias("fields"), F.sum(F.col("n") * F.col("count")).alias("squares")
     )
+    typed = seen.join(small(known.select("piece", "known"), number), "piece", "left").withColumn("shape", _shape(F.col("piece"))).join(small(shapes, kinds), "shape", "left")
+    hidden = F.col("piece").contains(_HIDDEN) & (F.length("piece") == 1)
+    regular = F.when(F.col("known").isNotNull() | hidden, 1.0).otherwise(0.5 * F.coalesce(F.col("usual") / most, F.lit(0.0)))
+    sums = typed.groupBy(*option).agg(F.sum(F.col("pieces") * regular).alias("regular"), *[F.sum(c).alias(c) for c in ("pieces", "fields", "squares")])
     mean = F.col("pieces") / F.col("fields")
     deviation = F.sqrt(F.greatest(F.col("squares") / F.col("fields") - mean * mean, F.lit(0.0)))
-    scored = counts.join(seen, ["source", "signature", "option"]).withColumn(
-        "score", F.col("regular") / F.greatest("pieces", F.lit(1)) + 0.01 / (1 + deviation / F.greatest(mean, F.lit(1.0)))
-    )
-    best = scored.groupBy("source", "signature").agg(F.max(F.struct(F.round("score", 1).alias("coarse"), "size", "score", "option")).alias("b"))
+    score = 0.8 * F.col("regular") / F.col("pieces") + 0.2 / (1 + deviation / mean)
+    best = sums.withColumn("score", F.round(score, 9)).groupBy("source", "signature").agg(F.max(F.struct("score", "size", "option")).alias("b"))
     return best.select("source", "signature", F.col("b.option").alias("delimiters"), F.col("b.score").alias("score"))
 
 
@@ -141,7 +163,7 @@ def split_packed(df: DataFrame, value: str, keep: list[str], source: str | None
     rows = (
         df.select(*keep, own.alias("__source"), _body(F.col(value)).alias("__body")).where(F.col("__body") != "")
         .withColumn("__skeleton", _skeleton(F.col("__body"))).withColumn("__signature", _signature(F.col("__skeleton")))
-        .join(chosen.select(F.col("source").alias("__source"), F.col("signature").alias("__signature"), "delimiters"), ["__source", "__signature"], "left")
+        .join(small(chosen.select(F.col("source").alias("__source"), F.col("signature").alias("__signature"), "delimiters"), chosen.count()), ["__source", "__signature"], "left")
     )
     skeleton = F.col("__skeleton")
 
@@ -152,11 +174,11 @@ def split_packed(df: DataFrame, value: str, keep: list[str], source: str | None
     def shown(piece: Column) -> Column:
         """A stripped piece with its quoted values bare again; one that is a quoted value alone loses its own outer blanks."""
         bare = F.translate(piece, _TWINS + _FROM + _TO, _MARKS)
-        return F.when(piece.startswith(_FROM) & piece.endswith(_TO), _strip(bare)).otherwise(bare)
+        return _restored(F.when(piece.startswith(_FROM) & piece.endswith(_TO), _strip(bare)).otherwise(bare))
 
-    plain = rows.where(~skeleton.contains(_HIDDEN)).select(*keep, F.filter(pieces(skeleton), lambda p: p != "").alias("__values"))
+    plain = rows.where(~skeleton.contains(_HIDDEN)).select(*keep, F.transform(F.filter(pieces(skeleton), lambda p: p != ""), _restored).alias("__values"))
     # quoted values go back in with twins in place of delimiters, so that no cut falls into them
-    guarded = F.transform(F.regexp_extract_all("__body", F.lit(f"({_QUOTED})"), F.lit(1)), lambda q: F.concat(F.lit(_FROM), F.translate(_unquoted(q), _MARKS, _TWINS), F.lit(_TO)))
+    guarded = F.transform(_quotes(F.col("__body")), lambda q: F.concat(F.lit(_FROM), F.translate(q, _MARKS, _TWINS), F.lit(_TO)))
     filled = F.array_join(F.zip_with(F.split(skeleton, _HIDDEN), guarded, lambda b, q: F.concat(b, F.coalesce(q, F.lit("")))), "")
     quoted = rows.where(skeleton.contains(_HIDDEN)).select(*keep, F.filter(F.transform(pieces(filled), shown), lambda p: p != "").alias("__values"))
     values = plain.unionByName(quoted)

@@ -83,6 +83,28 @@ def test_quotes_within_a_value_belong_to_it(spark):
     assert split(spark, ['6" Subs, Pubs', '"  Pubs "', "Kids' Wear, 'Soup, Hot'"]) == [(0, 0, '6" Subs'), (0, 1, "Pubs"), (1, 0, "Pubs"), (2, 0, "Kids' Wear"), (2, 1, "Soup, Hot")]
 
 
+def test_blanks_of_any_number_before_a_quote(spark):
+    assert split(spark, ['Bars,         "Food, Fast"', f'{" " * 300}"Soup, Hot";Bars']) == [(0, 0, "Bars"), (0, 1, "Food, Fast"), (1, 0, "Soup, Hot"), (1, 1, "Bars")]
+
+
+def test_private_characters_of_the_data_stay(spark):
+    odd = "\ue000a\ue003b\ue010c\ue001"
+    assert split(spark, [f'"{odd}, x",{odd}, Bars', odd]) == [(0, 0, f"{odd}, x"), (0, 1, odd), (0, 2, "Bars"), (1, 0, odd)]
+
+
+def test_very_long_quoted_value(spark):
+    value = 'Soup, "Hot" ' * 20_000 + "end"
+    assert split(spark, [packed([value, "Bars"], "json"), packed([value, "Bars"], "csv")]) == expect([[value, "Bars"]] * 2)
+
+
+def test_counts_decide_between_equally_regular_options(spark):
+    """No piece is known beforehand and all are of one type; cut at semicolons, every field has three of them."""
+    fields = [f"{a};{b};{c}" for a, b, c in zip(["Ab, Cd", "Ef", "Gh, Ij", "Kl, Mn"] * 5, ["Op", "Qr, St", "Uv, Wx", "Yz"] * 5, ["Aa, Bb", "Cc, Dd", "Ee", "Ff"] * 5)]
+    df = spark.createDataFrame([("s", f) for f in fields] + [("t", f'"{x}"') for x in ("Ab, Cd", "Gh, Ij", "Kl, Mn", "Qr, St", "Uv, Wx", "Aa, Bb", "Cc, Dd")], "src string, packed string")
+    got = {r["source"]: r for r in infer_delimiters(df, "packed", "src").collect()}
+    assert got["s"]["delimiters"] == "semicolon"
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.lists(st.sampled_from(PLAIN), min_size=1, max_size=6), st.sampled_from([", ", ";", "|", "json", "csv", "\t"])), min_size=1, max_size=12))
 def test_round_trip(spark, fields):
