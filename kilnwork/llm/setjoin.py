@@ -15,6 +15,7 @@ such a prefix serve. Smaller sets offer these keys only in sizes that were probe
 partners that may be similar to them, are counted token by token instead of being gathered. Nothing is left out in any case.
 
 Sets with no partner of fitting size are dropped first; equal sets are one class, joined once. Candidates are verified exactly.
+Between two tables only candidates with a set of either are kept.
 """
 
 from __future__ import annotations
@@ -27,12 +28,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kilnwork.operators.pairs import expanded as expanded_groups
 from kilnwork.sources.bounds import small
 from kilnwork.sources.staging import stage
 
 PREFER, PAIRS, GIANT = 8, 64, 20_000
-#: Rows of the table of sets up to which it is broadcast for verification.
-BROADCAST_SETS = 200_000
+#: Bytes of the table of sets up to which it is broadcast for verification.
+BROADCAST_BYTES = 32_000_000
 _U = np.uint64
 
 
@@ -153,7 +155,7 @@ def _probe(t: Fraction, longest: int):
                 keys.append(k)
             s, k = np.concatenate(sets).astype(int), np.concatenate(keys)
             kind = np.where(rest, np.where(by_pairs, 2, 1), 0)
-            yield pd.DataFrame({"key": k.view(np.int64), "id": pdf["id"].to_numpy()[s], "size": b.size[s], "kind": kind[s]})
+            yield pd.DataFrame({"key": k.view(np.int64), "id": pdf["id"].to_numpy()[s], "size": b.size[s], "sides": pdf["sides"].to_numpy()[s], "kind": kind[s]})
 
     return probe
 
@@ -180,89 +182,123 @@ def _offer(t: Fraction, longest: int, probed: dict[int, list[int]]):
             for single, kind in ((False, 2), (True, 1)):
                 asked = np.array(sorted(probed.get(kind, [])), dtype=np.int64)
                 some = np.searchsorted(asked, b.size) < np.searchsorted(asked, top, side="right")
-                if not single:
-                    some &= least >= 2
-                s, k = b.prefix_keys(some, np.maximum(least, 1), single)
+                # who probes by pairs shares two tokens at least, whatever the least overlap of this size is
+                s, k = b.prefix_keys(some & (b.size > (not single)), np.maximum(least, 1 if single else 2), single)
                 sets.append(s)
                 keys.append(k)
             s, k = (np.concatenate(sets).astype(int), np.concatenate(keys)) if sets else (np.zeros(0, int), np.zeros(0, _U))
-            yield pd.DataFrame({"key": k.view(np.int64), "id": pdf["id"].to_numpy()[s], "size": b.size[s]})
+            yield pd.DataFrame({"key": k.view(np.int64), "id": pdf["id"].to_numpy()[s], "size": b.size[s], "sides": pdf["sides"].to_numpy()[s]})
 
     return offer
 
 
-def similar_sets(df: DataFrame, record: str, token: str, threshold: float = 0.5, min_size: int = 1, giant: int = GIANT) -> tuple[DataFrame, DataFrame]:
-    """All pairs of sets with Jaccard similarity >= threshold (0 < threshold <= 1), as classes of equal sets.
+def similar_sets(df: DataFrame, record: str, token: str, threshold: float | Fraction = 0.5, min_size: int = 1, giant: int = GIANT) -> tuple[DataFrame, DataFrame]:
+    """All pairs of sets with Jaccard similarity >= threshold (0 < threshold <= 1, taken as it is written), as classes of equal sets.
 
     Returns (pairs, members). pairs: r1 < r2 (the classes' representatives), common, size1, size2 (long). members: record,
     representative, size; the representative is the least record of a class. Records of one class are similar pairwise, too, and
     have no row in pairs. Rows with a null or empty record or token don't count, repeated rows count once, sets of fewer than
     min_size tokens don't take part; an empty table has no rows. Other columns are not read.
     """
-    t = Fraction(threshold).limit_denominator(1000)
+    pairs, members = _similar(_rows(df, record, token, 3), threshold, min_size, giant)
+    return pairs, members.drop("sides")
+
+
+def similar_between(
+    left: DataFrame, right: DataFrame, record: str, token: str, threshold: float | Fraction = 0.5, min_size: int = 1, giant: int = GIANT, right_record: str | None = None, right_token: str | None = None
+) -> DataFrame:
+    """All pairs of a set of the left table and one of the right with Jaccard similarity >= threshold: left, right, common (long).
+
+    Sets of one table are not compared with one another. right_record, right_token: the columns of the right table, where they are
+    called otherwise. A record may occur in both tables, as a set in each. Else as similar_sets; equal sets are expanded.
+    """
+    rows = _rows(left, record, token, 1).unionByName(_rows(right, right_record or record, right_token or token, 2))
+    # the same record in both tables is two sets
+    rows = rows.withColumn("record", F.concat(F.col("sides").cast("string"), "record"))
+    pairs, members = _similar(rows, threshold, min_size, giant)
+    m = members.select("record", "representative", "sides", "size")
+    side = lambda n, r: m.where(F.substring("record", 1, 1) == str(n)).select(F.expr("substring(record, 2)").alias("left" if n == 1 else "right"), F.col("representative").alias(r), *(["size"] if n == 1 and r == "r" else []))
+    both_ways = pairs.select("r1", "r2", "common").unionByName(pairs.select(F.col("r2").alias("r1"), F.col("r1").alias("r2"), "common"))
+    across = both_ways.join(side(1, "r1"), "r1").join(side(2, "r2"), "r2").select("left", "right", "common")
+    equal = side(1, "r").join(side(2, "r"), "r").select("left", "right", F.col("size").alias("common"))
+    return across.unionByName(equal)
+
+
+def _rows(df: DataFrame, record: str, token: str, sides: int) -> DataFrame:
+    rows = df.select(F.col(record).cast("string").alias("record"), F.col(token).cast("string").alias("token"))
+    return rows.where("record <> '' and token <> ''").distinct().withColumn("sides", F.lit(sides))
+
+
+def _similar(rows: DataFrame, threshold: float | Fraction, min_size: int, giant: int) -> tuple[DataFrame, DataFrame]:
+    """Class pairs and members (with sides) of rows (record, token, sides). sides: 1 and 2 for the tables of a join between two, 3 within one."""
+    t = threshold if isinstance(threshold, Fraction) else Fraction(str(threshold))
     if not 0 < t <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     p, q = t.numerator, t.denominator
-    rows = df.select(F.col(record).cast("string").alias("record"), F.col(token).cast("string").alias("token")).where("record <> '' and token <> ''").distinct()
     rows = stage(rows, "sets")
-    sizes = stage(rows.groupBy("record").agg(F.count("*").alias("size")).where(F.col("size") >= min_size), "sizes")
+    sizes = stage(rows.groupBy("record", "sides").agg(F.count("*").alias("size")).where(F.col("size") >= min_size), "sizes")
     # at most as many distinct sizes as the square root of twice the rows
     counts = sorted((r[0], r[1]) for r in sizes.groupBy("size").agg(F.count("*")).collect())
     near = [i for i, (n, c) in enumerate(counts) if c > 1 or (i and counts[i - 1][0] * q >= p * n) or (i + 1 < len(counts) and p * counts[i + 1][0] <= q * n)]
-    lonely = [n for i, (n, _) in enumerate(counts) if i not in set(near)]
+    fits_some = set(near)
+    lonely = [n for i, (n, _) in enumerate(counts) if i not in fits_some]
     fitting = sizes.where(~F.col("size").isin(lonely)) if lonely else sizes
     longest = max((counts[i][0] for i in near), default=1)
 
+    rows = rows.drop("sides")
     frequency = rows.join(fitting.select("record"), "record", "left_semi").groupBy("token").agg(F.count("*").alias("freq"))
     gathered = fitting.where(F.col("size") <= giant)
     parts = rows.join(gathered, "record").join(frequency, "token")
     sets = (
-        parts.groupBy("record").agg(F.sort_array(F.collect_list(F.struct("token", "freq"))).alias("t"))
-        .select("record", F.col("t.token").alias("tokens"), F.col("t.freq").alias("freqs"))
+        parts.groupBy("record", "sides").agg(F.sort_array(F.collect_list(F.struct("token", "freq"))).alias("t"))
+        .select("record", "sides", F.col("t.token").alias("tokens"), F.col("t.freq").alias("freqs"))
     )
     classes = stage(
-        sets.groupBy("tokens").agg(F.min("record").alias("id"), F.first("freqs").alias("freqs"), F.collect_list("record").alias("records")), "classes"
-    )
-    hashed = classes.select("id", F.transform("tokens", lambda x: F.xxhash64(x)).alias("tokens"), "freqs")
-    probes = stage(hashed.mapInPandas(_probe(t, min(longest, giant)), "key long, id string, size long, kind int"), "probes")
+        sets.groupBy("tokens").agg(
+            F.min("record").alias("id"), F.first("freqs").alias("freqs"), F.bit_or("sides").alias("sides"), F.collect_list(F.struct("record", "sides")).alias("records")
+        ), "classes"
+    )
+    hashed = classes.select("id", "sides", F.transform("tokens", lambda x: F.xxhash64(x)).alias("tokens"), "freqs")
+    probes = stage(hashed.mapInPandas(_probe(t, min(longest, giant)), "key long, id string, size long, sides int, kind int"), "probes")
     probed: dict[int, list[int]] = {}
     for kind, size in probes.where("kind > 0").select("kind", "size").distinct().collect():  # sizes again
         probed.setdefault(kind, []).append(size)
-    offers = hashed.mapInPandas(_offer(t, min(longest, giant), probed), "key long, id string, size long")
+    offers = hashed.mapInPandas(_offer(t, min(longest, giant), probed), "key long, id string, size long, sides int")
     fits = (F.col("o.size") * q >= p * F.col("x.size")) & ((F.col("o.size") < F.col("x.size")) | (F.col("o.size") == F.col("x.size")) & (F.col("x.id") < F.col("o.id")))
+    across = lambda a, b: F.col(a).bitwiseOR(F.col(b)) == 3
     candidates = (
-        probes.alias("x").join(offers.alias("o"), (F.col("x.key") == F.col("o.key")) & fits)
+        probes.alias("x").join(offers.alias("o"), (F.col("x.key") == F.col("o.key")) & fits & across("x.sides", "o.sides"))
         .select(F.least("x.id", "o.id").alias("r1"), F.greatest("x.id", "o.id").alias("r2")).distinct()
     )
-    number = classes.count()
-    side = lambda i: small(classes.select(F.col("id").alias(f"r{i}"), F.col("tokens").alias(f"t{i}")), number, BROADCAST_SETS)
+    length = F.aggregate("tokens", F.lit(0).cast("long"), lambda s, x: s + F.octet_length(x) + 16)
+    taken = classes.agg(F.coalesce(F.sum(length), F.lit(0)).cast("long")).first()[0]
+    side = lambda i: small(classes.select(F.col("id").alias(f"r{i}"), F.col("tokens").alias(f"t{i}")), taken, BROADCAST_BYTES)
     verified = candidates.join(side(1), "r1").join(side(2), "r2").select(
         "r1", "r2", F.size(F.array_intersect("t1", "t2")).cast("long").alias("common"), F.size("t1").cast("long").alias("size1"), F.size("t2").cast("long").alias("size2")
     )
     similar = F.col("common") * q >= p * (F.col("size1") + F.col("size2") - F.col("common"))
     pairs = verified.where(similar)
-    members = classes.select(F.explode("records").alias("record"), F.col("id").alias("representative"), F.size("tokens").cast("long").alias("size"))
+    members = classes.select(F.explode("records").alias("m"), F.col("id").alias("representative"), F.size("tokens").cast("long").alias("size")).select("m.record", "representative", "size", "m.sides")
+    own = lambda d: d.select("record", F.col("record").alias("representative"), "size", "sides")
     if longest > giant:
-        big = fitting.where(F.col("size") * q >= p * giant)
-        long_rows = stage(rows.join(big, "record"), "giants")
-        l, r = long_rows.alias("l"), long_rows.alias("r")
+        # a set within the bound stands for its class: pairs of a giant with the others of a class follow from the representative's
+        big = classes.select(F.col("id").alias("record"), "sides", F.size("tokens").cast("long").alias("size")).unionByName(fitting.where(F.col("size") > giant))
+        big = big.where(F.col("size") * q >= p * giant)
+        member = F.struct(F.col("record").alias("r"), F.col("size").alias("s"), F.col("sides").alias("t"))
+        # tokens' records in blocks, so that a frequent token's pairs are made by many tasks
+        over = expanded_groups(rows.join(big, "record").select(F.col("token").alias("g"), member.alias("p")))
         over = (
-            l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.record") < F.col("r.record")) & (F.greatest("l.size", "r.size") > giant))
-            .groupBy(F.col("l.record").alias("r1"), F.col("r.record").alias("r2"), F.col("l.size").alias("size1"), F.col("r.size").alias("size2"))
+            over.where((F.greatest("p.s", "q.s") > giant) & across("p.t", "q.t")).groupBy(F.col("p.r").alias("r1"), F.col("q.r").alias("r2"), F.col("p.s").alias("size1"), F.col("q.s").alias("size2"))
             .agg(F.count("*").alias("common")).select("r1", "r2", "common", "size1", "size2").where(similar)
         )
-        # a set within the bound stands for its class: pairs of a giant with other members follow from the representative's
-        stands = members.where(F.col("record") != F.col("representative")).select("record")
-        over = over.join(stands.withColumnRenamed("record", "r1"), "r1", "left_anti").join(stands.withColumnRenamed("record", "r2"), "r2", "left_anti")
         pairs = pairs.unionByName(over)
-        members = members.unionByName(fitting.where(F.col("size") > giant).select("record", F.col("record").alias("representative"), "size"))
+        members = members.unionByName(own(fitting.where(F.col("size") > giant)))
     alone = sizes.where(F.col("size").isin(lonely)) if lonely else sizes.limit(0)
-    members = members.unionByName(alone.select("record", F.col("record").alias("representative"), "size"))
-    return pairs, members
+    return pairs, members.unionByName(own(alone))
 
 
 def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """All similar pairs of records, r1 < r2, from class pairs and members."""
+    """All similar pairs of records, r1 < r2, from class pairs and members. Members of one class are paired in blocks."""
     m = members.select("record", "representative")
     between = (
         pairs.select("r1", "r2").join(m.select(F.col("record").alias("a"), F.col("representative").alias("r1")), "r1")
@@ -270,6 +306,5 @@ def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
     )
     copies = m.where(F.col("record") != F.col("representative"))
     shared = m.join(copies.select("representative").distinct(), "representative", "left_semi")
-    within = shared.alias("l").join(shared.alias("r"), (F.col("l.representative") == F.col("r.representative")) & (F.col("l.record") < F.col("r.record")))
-    within = within.select(F.col("l.record").alias("a"), F.col("r.record").alias("b"))
+    within = expanded_groups(shared.select(F.col("representative").alias("g"), F.struct("record").alias("p"))).select(F.col("p.record").alias("a"), F.col("q.record").alias("b"))
     return between.unionByName(within).select(F.least("a", "b").alias("r1"), F.greatest("a", "b").alias("r2"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnwork.llm.setjoin import expanded, similar_sets
+from kilnwork.llm.setjoin import expanded, similar_between, similar_sets
 from kilnwork.plans.registry import Registry
 from kilnwork.sources.tables import table
 
@@ -24,6 +24,13 @@ def p7_links(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p7_between(spark: SparkSession, folder: str) -> DataFrame:
+    """Businesses by those who reviewed them and businesses by those who liked them (4 stars or more): sets of at least 3 users, similar at 0.5."""
+    rows = table(spark, folder, "train_review")
+    found = similar_between(rows, rows.where((F.col("stars") >= 4) & ~F.isnan("stars")), "business_id", "user_id", threshold=0.5, min_size=3)
+    return found.select(F.col("left").alias("reviewed"), F.col("right").alias("liked"), "common")
+
+
 _SETS = """
 WITH t AS (SELECT DISTINCT business_id b, user_id u FROM train_review WHERE business_id <> '' AND user_id <> ''),
      n AS (SELECT b, count(*) n, string_agg(u, ' ' ORDER BY u) k FROM t GROUP BY b HAVING count(*) >= 3),
@@ -34,6 +41,14 @@ WITH t AS (SELECT DISTINCT business_id b, user_id u FROM train_review WHERE busi
 
 def register(out: Registry) -> None:
     out.add("p7_found", _SETS + "SELECT b1, b2 FROM f")(p7_found)
+    out.add(
+        "p7_between",
+        """WITH t AS (SELECT DISTINCT business_id b, user_id u FROM train_review WHERE business_id <> '' AND user_id <> ''),
+        s AS (SELECT DISTINCT business_id b, user_id u FROM train_review WHERE business_id <> '' AND user_id <> '' AND stars >= 4 AND NOT isnan(stars)),
+        n AS (SELECT b, count(*) n FROM t GROUP BY b HAVING count(*) >= 3), m AS (SELECT b, count(*) n FROM s GROUP BY b HAVING count(*) >= 3),
+        j AS (SELECT t.b x, s.b y, count(*) common FROM t JOIN s USING (u) GROUP BY 1, 2)
+        SELECT x reviewed, y liked, common FROM j JOIN n ON n.b = x JOIN m ON m.b = y WHERE 2 * common >= n.n + m.n - common""",
+    )(p7_between)
     out.add(
         "p7_links",
         _SETS + """, d AS (SELECT k, min(b) c FROM n GROUP BY k),

@@ -128,7 +128,7 @@ def _sets(seed, hot=True):
     return out
 
 
-@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8, 1.0])
+@pytest.mark.parametrize("threshold", [0.15, 0.3, 0.5, 0.8, 1.0])
 @pytest.mark.parametrize("giant", [S.GIANT, 12])
 def test_set_join_finds_all_pairs(spark, threshold, giant):
     sets = _sets(int(threshold * 10))
@@ -147,3 +147,31 @@ def test_set_join_minimum_size_and_empty(spark):
     assert S.expanded(*S.similar_sets(df.limit(0), "record", "token", 0.5)).collect() == []
     with pytest.raises(ValueError):
         S.similar_sets(df, "record", "token", 0)
+
+
+@pytest.mark.parametrize("giant", [S.GIANT, 12])
+@pytest.mark.parametrize("threshold", [0.3, 0.5])
+def test_join_between_two_tables(spark, threshold, giant):
+    draw, all_ = random.Random(8), _sets(7)
+    one = {k: v for k, v in all_.items() if draw.random() < 0.6 and v}
+    other = {k: v for k, v in all_.items() if draw.random() < 0.6 and v}  # records of both, too
+    table = lambda d, *names: spark.createDataFrame([(k, t, 1) for k, v in d.items() for t in v], f"{names[0]} string, {names[1]} string, left int")
+    got = [tuple(r) for r in S.similar_between(table(one, "r", "t"), table(other, "id", "tag"), "r", "t", threshold, 2, giant, "id", "tag").collect()]
+    brute = {(a, b, len(x & y)) for a, x in one.items() for b, y in other.items() if len(x) > 1 < len(y) and len(x & y) >= threshold * len(x | y) - 1e-12}
+    assert len(got) == len(set(got)) and set(got) == brute and any(a == b for a, b, _ in brute)
+    assert S.similar_between(table(one, "r", "t"), table(other, "r", "t").limit(0), "r", "t").collect() == []
+
+
+def test_small_sets_within_larger_ones_at_low_thresholds(spark):
+    small, large = ["1", "2"], ["1", "2", "3", "4", "5", "6"]
+    rows = [(r, t) for r, v in (("a", small), ("b", large)) for t in v] + [(f"x{i}", t) for i in range(60) for t in ("1", "2", f"y{i}", f"z{i}", f"w{i}", f"v{i}", f"u{i}")]
+    pairs, members = S.similar_sets(spark.createDataFrame(rows, "r string, t string"), "r", "t", 0.3)
+    assert ("a", "b") in {(r["r1"], r["r2"]) for r in S.expanded(pairs, members).collect()}
+
+
+def test_thresholds_are_taken_as_written(spark):
+    """1601 of 2000 common tokens are 0.8005 exactly, and 321 / 401 more."""
+    rows = [("a", str(i)) for i in range(2000)] + [("b", str(i)) for i in range(1601)] + [("c", str(i)) for i in range(1600)]
+    df = spark.createDataFrame(rows, "r string, t string")
+    got = {tuple(r)[:2] for r in S.expanded(*S.similar_sets(df, "r", "t", 0.8005)).collect()}
+    assert got == {("a", "b"), ("b", "c")}
