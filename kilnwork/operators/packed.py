@@ -75,9 +75,16 @@ def _shape(piece: Column) -> Column:
     return F.substring(F.regexp_replace(words, r"[0-9]+", "9"), 1, 12)
 
 
+def _cutter(names: tuple[str, ...]) -> str:
+    """One pattern of the named delimiters: a class of those that are one sign, and the others."""
+    single = [DELIMITERS[n] for n in names if n not in ("line", "slash")]
+    parts = [f"[{''.join(single)}{DELIMITERS['line'][1:-1] if 'line' in names else ''}]"] if single or "line" in names else []
+    return "|".join(parts + [DELIMITERS[n] for n in names if n == "slash"])
+
+
 def _pieces(skeleton: Column, names: tuple[str, ...]) -> Column:
     """Non-empty pieces of a skeleton cut at the named delimiters."""
-    cut = F.split(skeleton, "|".join(DELIMITERS[n] for n in names)) if names else F.array(skeleton)
+    cut = F.split(skeleton, _cutter(names)) if names else F.array(skeleton)
     return F.filter(F.transform(cut, _strip), lambda p: p != "")
 
 
@@ -120,7 +127,7 @@ def infer_delimiters(df: DataFrame, value: str, source: str | None = None) -> Da
     )
     known = stage(known, "known")
     shapes = known.groupBy("shape").agg(F.sum("known").alias("usual"))
-    number, kinds = known.count(), shapes.count()
+    number, kinds = known.agg(F.count("*"), F.count_distinct("shape")).first()
     most = shapes.agg(F.max("usual")).first()[0] or 1
     mixed = rows.where(F.col("signature") != "")
     signatures = [r[0] for r in mixed.select("signature").distinct().limit(2 ** len(DELIMITERS)).collect()]  # at most as many subsets
@@ -168,7 +175,7 @@ def split_packed(df: DataFrame, value: str, keep: list[str], source: str | None
     skeleton = F.col("__skeleton")
 
     def pieces(field: Column) -> Column:
-        cuts = [F.when(F.col("delimiters") == s, F.split(field, "|".join(DELIMITERS[n] for n in s.split(" ")))) for s in sets if s]
+        cuts = [F.when(F.col("delimiters") == s, F.split(field, _cutter(tuple(s.split(" "))))) for s in sets if s]
         return F.transform(F.coalesce(*cuts, F.array(field)), _strip)
 
     def shown(piece: Column) -> Column:
@@ -176,10 +183,10 @@ def split_packed(df: DataFrame, value: str, keep: list[str], source: str | None
         bare = F.translate(piece, _TWINS + _FROM + _TO, _MARKS)
         return _restored(F.when(piece.startswith(_FROM) & piece.endswith(_TO), _strip(bare)).otherwise(bare))
 
-    plain = rows.where(~skeleton.contains(_HIDDEN)).select(*keep, F.transform(F.filter(pieces(skeleton), lambda p: p != ""), _restored).alias("__values"))
+    plain = F.transform(F.filter(pieces(skeleton), lambda p: p != ""), _restored)
     # quoted values go back in with twins in place of delimiters, so that no cut falls into them
     guarded = F.transform(_quotes(F.col("__body")), lambda q: F.concat(F.lit(_FROM), F.translate(q, _MARKS, _TWINS), F.lit(_TO)))
     filled = F.array_join(F.zip_with(F.split(skeleton, _HIDDEN), guarded, lambda b, q: F.concat(b, F.coalesce(q, F.lit("")))), "")
-    quoted = rows.where(skeleton.contains(_HIDDEN)).select(*keep, F.filter(F.transform(pieces(filled), shown), lambda p: p != "").alias("__values"))
-    values = plain.unionByName(quoted)
+    quoted = F.filter(F.transform(pieces(filled), shown), lambda p: p != "")
+    values = rows.select(*keep, F.when(skeleton.contains(_HIDDEN), quoted).otherwise(plain).alias("__values"))
     return values.select(*keep, F.posexplode("__values").alias(pos, out))
