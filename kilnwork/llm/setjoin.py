@@ -305,6 +305,8 @@ def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
         .join(m.select(F.col("record").alias("b"), F.col("representative").alias("r2")), "r2").select("a", "b")
     )
     copies = m.where(F.col("record") != F.col("representative"))
-    shared = m.join(copies.select("representative").distinct(), "representative", "left_semi")
+    shared = stage(m.join(copies.select("representative").distinct(), "representative", "left_semi"), "copies")
+    if not shared.limit(1).count():
+        return between.select(F.least("a", "b").alias("r1"), F.greatest("a", "b").alias("r2"))
     within = expanded_groups(shared.select(F.col("representative").alias("g"), F.struct("record").alias("p"))).select(F.col("p.record").alias("a"), F.col("q.record").alias("b"))
     return between.unionByName(within).select(F.least("a", "b").alias("r1"), F.greatest("a", "b").alias("r2"))

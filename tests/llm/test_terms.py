@@ -128,8 +128,12 @@ def test_frequent_values_are_exact(spark, share):
 
 def test_frequent_values_when_the_sketch_is_far_too_small(spark, monkeypatch):
     """Light cells above the threshold are recounted whole."""
-    for name, value in (("BUCKETS", 2), ("SLOTS", 1), ("CELLS", 4)):
-        monkeypatch.setattr(H, name, value)
+    items = _heavy(3, 20_000)
+    df = spark.createDataFrame([([a], ["x"]) for a in items], "one array<string>, two array<string>").repartition(3)
+    monkeypatch.setattr(H, "sketch_size", lambda share: (2, 4))
+    got = H.frequent_values(df, {"one": F.col("one"), "two": F.col("two")}, {"one": 0.01, "two": 0.5}).collect()
+    want = {("one", k, n) for k, n in Counter(items).items() if n >= 200} | {("two", "x", 20_000)}
+    assert {(r["field"], r["item"], r["n"]) for r in got} == want
     sketch = H.HeavyLight(2, 1, 4)
     keys = np.arange(1, 500, dtype=np.int64)
     counts = np.arange(1, 500, dtype=np.int64)
@@ -152,6 +156,29 @@ def test_sketch_bounds_hold_over_batches():
     assert sketch.votes.sum() + sketch.light.sum() == sum(truth.values())
 
 
+def test_memory_follows_from_the_share():
+    assert H.sketch_size(0.005) == (512, 8192) and H.sketch_size(1e-4) == (8192, 131072)
+    with pytest.raises(ValueError):
+        H.sketch_size(1e-8)
+
+
+def test_shares_below_the_smallest_sketch_are_exact(spark):
+    draw = random.Random(6)
+    items = [f"v{draw.randrange(60_000)}" for _ in range(60_000)] + [f"h{i % 40}" for i in range(2_000)]
+    df = spark.createDataFrame([([a],) for a in items], "one array<string>").repartition(4)
+    got = H.frequent_values(df, {"one": F.col("one")}, {"one": 1 / 2_000}).collect()
+    assert {r["item"]: r["n"] for r in got} == {k: n for k, n in Counter(items).items() if n >= len(items) / 2_000} and len(got) >= 40
+
+
+def test_approximate_top_has_bounds_around_the_counts(spark):
+    items = _heavy(4, 30_000)
+    truth = Counter(items)
+    df = spark.createDataFrame([([a],) for a in items] + [([None],), (None,)], "one array<string>").repartition(5)
+    got = H.approximate_top(df, F.col("one"), 5, 0.01).collect()
+    assert [r["item"] for r in got][:3] == [k for k, _ in sorted(truth.items(), key=lambda x: (-x[1], x[0]))][:3]
+    assert len(got) == 5 and all(r["least"] <= truth[r["item"]] <= r["most"] for r in got)
+
+
 def test_no_values(spark):
     df = spark.createDataFrame([], "one array<string>")
     assert H.frequent_values(df, {"one": F.col("one")}, {"one": 0.5}).collect() == []
