@@ -24,22 +24,17 @@ def frequent_pairs(rows: DataFrame, support: int) -> DataFrame:
     return common_counts(rows, "basket", "item", support)
 
 
-def _grown(rows: DataFrame, sets: DataFrame, size: int, support: int) -> DataFrame:
-    """Frequent itemsets of size + 1 from the frequent ones (array column items) of `size`.
-
-    Candidates join two sets that differ in their last item; each of their subsets must be frequent, then their baskets are counted.
-    """
+def _candidates(sets: DataFrame, size: int) -> DataFrame:
+    """items, left, item: unions of two frequent itemsets (array column items) of `size` that differ in their last item, all of whose
+    subsets are frequent; left is the first of the two, item the last item of the other."""
     head = lambda c: F.slice(c, 1, size - 1)
-    l, r = sets.select(F.col("items").alias("l"), head("items").alias("h")), sets.select(F.col("items").alias("r"), head("items").alias("h"))
-    grown = l.join(r, "h").where(F.element_at("l", -1) < F.element_at("r", -1)).select(F.concat("l", F.slice("r", size, 1)).alias("items"))
-    subsets = grown.select("items", F.explode(F.transform("items", lambda x: F.array_remove(F.col("items"), x))).alias("sub"))
-    whole = subsets.join(sets.select(F.col("items").alias("sub")), "sub", "left_semi").groupBy("items").agg(F.count("*").alias("k")).where(F.col("k") == size + 1).select("items")
-    return _supported(rows, whole, size + 1, support)
-
-
-def _supported(rows: DataFrame, sets: DataFrame, size: int, support: int) -> DataFrame:
-    """items, n of those of the given sets (array column items, all of `size`) that are in at least `support` baskets."""
-    return _baskets_of(rows, sets, size).groupBy("items").agg(F.count("*").alias("n")).where(F.col("n") >= support)
+    l, r = sets.select(F.col("items").alias("left"), head("items").alias("h")), sets.select(F.col("items").alias("r"), head("items").alias("h"))
+    grown = l.join(r, "h").where(F.element_at("left", -1) < F.element_at("r", -1)).select(F.concat("left", F.slice("r", size, 1)).alias("items"), "left", F.element_at("r", -1).alias("item"))
+    # the two that it was made of are frequent
+    for i in range(size - 1):
+        sub = F.concat(F.slice("items", 1, i), F.slice("items", i + 2, size - i))
+        grown = grown.withColumn("__sub", sub).join(sets.select(F.col("items").alias("__sub")), "__sub", "left_semi").drop("__sub")
+    return grown
 
 
 def _baskets_of(rows: DataFrame, sets: DataFrame, size: int) -> DataFrame:
@@ -55,16 +50,24 @@ def _baskets_of(rows: DataFrame, sets: DataFrame, size: int) -> DataFrame:
 def frequent_itemsets(rows: DataFrame, support: int, least: Column | None = None) -> DataFrame:
     """items (sorted array), size, n of all itemsets in at least `support` baskets, of every size: levels grow until one is empty.
 
-    least: further bound of n that depends on the column items, for which every subset of a set that reaches it must reach it, too.
+    From pairs on each level keeps the baskets of its sets, in which a candidate's further item is looked for, so a level takes one join with
+    the baskets. least: further bound of n that depends on the column items, for which every subset of a set that reaches it must
+    reach it, too.
     """
     rows = stage(rows, "baskets")
-    enough = (lambda d: d.where(F.col("n") >= least)) if least is not None else (lambda d: d)
+    enough = (lambda d: d.where((F.col("n") >= support) & (F.col("n") >= least))) if least is not None else (lambda d: d.where(F.col("n") >= support))
     levels = [stage(enough(frequent_items(rows, support).select(F.array("item").alias("items"), "n")), "items")]
     kept = rows.join(levels[0].select(F.col("items")[0].alias("item")), "item", "left_semi")
     levels.append(stage(enough(frequent_pairs(kept, support).select(F.array("a", "b").alias("items"), "n")), "pairs"))
+    held = None
     while levels[-1].limit(1).count():
-        kept = rows.join(levels[-1].select(F.explode("items").alias("item")).distinct(), "item", "left_semi")
-        levels.append(stage(enough(_grown(kept, levels[-1], len(levels), support)), "itemsets"))
+        if held is None:
+            kept = stage(rows.join(levels[-1].select(F.explode("items").alias("item")).distinct(), "item", "left_semi"), "kept")
+            held = _baskets_of(kept, levels[-1].select("items"), 2)
+        found = _candidates(levels[-1], len(levels)).join(held.withColumnRenamed("items", "left"), "left").join(kept, ["item", "basket"], "left_semi").select("items", "basket")
+        found = stage(found, "held")
+        levels.append(stage(enough(found.groupBy("items").agg(F.count("*").alias("n"))), "itemsets"))
+        held = found.join(levels[-1].select("items"), "items", "left_semi")
     return reduce(DataFrame.unionByName, levels).select("items", F.size("items").alias("size"), "n")
 
 

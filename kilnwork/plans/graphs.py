@@ -22,6 +22,7 @@ cc AS (SELECT id, min(r) component FROM reach GROUP BY 1)"""
 _BFS = _E + """, bfs(root, id, dist) AS (SELECT DISTINCT src, src, 0 FROM arc UNION
 SELECT root, dst, dist + 1 FROM bfs JOIN arc ON src = id WHERE dist < 60 AND NOT EXISTS (SELECT 1 FROM recurring.bfs o WHERE o.root = bfs.root AND o.id = dst)),
 lv AS (SELECT root, id, min(dist) dist FROM bfs GROUP BY 1, 2)"""
+_LV = _BFS.replace(" AND NOT EXISTS (SELECT 1 FROM recurring.bfs o WHERE o.root = bfs.root AND o.id = dst)", "").replace("dist < 60", "dist < (SELECT count(DISTINCT src) FROM arc)")
 _LPA = _E + ", l0 AS (SELECT DISTINCT src id, src label FROM arc)" + "".join(
     f""", v{i} AS (SELECT src, label, count(*) n FROM arc JOIN l{i} ON id = dst GROUP BY 1, 2),
 l{i + 1} AS (SELECT src id, min(label) label FROM v{i} WHERE (src, n) IN (SELECT (src, max(n)) FROM v{i} GROUP BY src) GROUP BY 1)"""
@@ -65,7 +66,7 @@ def register(out: Registry) -> None:
     def _(s, d):
         return G.connected_components(_edges(s, d))
 
-    @q("bfs_levels", "WITH RECURSIVE " + _BFS.replace(" AND NOT EXISTS (SELECT 1 FROM recurring.bfs o WHERE o.root = bfs.root AND o.id = dst)", "").replace("dist < 60", "dist < (SELECT count(DISTINCT src) FROM arc)") + " SELECT root, id, dist FROM lv")
+    @q("bfs_levels", "WITH RECURSIVE " + _LV + " SELECT root, id, dist FROM lv")
     def _(s, d):
         return G.levels(_edges(s, d)).select("root", "id", "dist")
 
@@ -80,7 +81,17 @@ def register(out: Registry) -> None:
         edges = _edges(s, d)
         return G.modularity(edges, G.connected_components(edges))
 
-    @q("edge_betweenness")
+    # numbers of shortest paths by level from every root; an edge on a level's way down carries what the nodes below it hand up
+    brandes = _LV + """, p(root, id, dist, paths) AS (SELECT root, id, dist, 1::DOUBLE FROM lv WHERE dist = 0
+        UNION ALL SELECT * FROM (SELECT l.root, l.id, l.dist, sum(p.paths) OVER (PARTITION BY l.root, l.id) paths FROM p JOIN arc ON arc.src = p.id JOIN lv l ON l.root = p.root AND l.id = arc.dst AND l.dist = p.dist + 1
+        QUALIFY row_number() OVER (PARTITION BY l.root, l.id) = 1)),
+        down AS (SELECT x.root, x.id up, y.id low, y.dist, x.paths / y.paths share FROM p x JOIN arc ON src = x.id JOIN p y ON y.root = x.root AND y.id = dst AND y.dist = x.dist + 1),
+        way(root, up, low, low0, flow) AS (SELECT root, up, low, low, share FROM down UNION ALL
+        SELECT * FROM (SELECT w.root, d.up, d.low, w.low0, sum(w.flow) OVER (PARTITION BY w.root, d.up, d.low, w.low0) * d.share flow FROM way w JOIN down d ON d.root = w.root AND d.low = w.up
+        QUALIFY row_number() OVER (PARTITION BY w.root, d.up, d.low, w.low0) = 1))
+        SELECT least(up, low) a, greatest(up, low) b, round(sum(flow) / 2, 6) betweenness FROM way GROUP BY 1, 2"""
+
+    @q("edge_betweenness", "WITH RECURSIVE " + brandes)
     def _(s, d):
         return G.ranked_edges(G.betweenness(_edges(s, d)).withColumn("betweenness", F.round("betweenness", 6)))
 
@@ -113,6 +124,13 @@ def register(out: Registry) -> None:
         points = _points(s, d)
         return K.admit(points.drop("cluster"), K.summaries(points), 1.0).select(F.col("id").alias("vec_id"), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
+    @q("bfr_points", "WITH " + _PT + ", k AS (SELECT id % 5 chunk, count(*) n FROM pt GROUP BY 1) SELECT (row_number() OVER (ORDER BY chunk))::INTEGER round_id, (sum(n) OVER (ORDER BY chunk))::BIGINT points FROM k")
+    def _(s, d):
+        """Of each round: the points in all three sets together, which must be those seen."""
+        points = _points(s, d).drop("cluster").withColumn("chunk", F.col("id") % 5)
+        rounds = K.chunked_clusters(points, "chunk", CLUSTERS)[0]
+        return rounds.select("round_id", (F.col("nof_point_discard") + F.col("nof_point_compression") + F.col("nof_point_retained")).alias("points"))
+
     @q("bfr_rounds")
     def _(s, d):
         points = _points(s, d).drop("cluster").withColumn("chunk", F.col("id") % 5)
