@@ -30,11 +30,11 @@ def rates(sizes: DataFrame, mix: DataFrame, total: float | None = None) -> DataF
     """Per listed source: source, target_share, max_repeats, documents, tokens, rate, capped (its target is out of reach).
 
     sizes: source (as source_name gives it), n_tokens. mix: source, target_share, max_repeats; rows that name one source
-    are one, of the sum of shares and the least cap; null shares count 0. total: tokens the collection should have; by default
+    are one, of the sum of shares and the least cap; null shares count 0, a null cap is one copy. total: tokens the collection should have; by default
     as many as all sources that have any tokens can give in proportion without repeating a document more than their cap.
     A source without tokens has rate 0 and is capped if it has a share.
     """
-    listed = mix.select(source_name(F.col("source")).alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("share"), F.coalesce("max_repeats", F.lit(0)).alias("cap"))
+    listed = mix.select(source_name(F.col("source")).alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("share"), F.coalesce("max_repeats", F.lit(1)).alias("cap"))
     listed = listed.where("source is not null").groupBy("source").agg(F.sum("share").alias("target_share"), F.min("cap").cast("int").alias("max_repeats"))
     has = sizes.groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"))
     both = stage(

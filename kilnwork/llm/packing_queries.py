@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import partial, reduce
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,10 +64,26 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return shares(sizes, "doc_id", rate)
 
 
+def p9_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """For each listed source its documents and the rules of mixing that are broken: documents with another number of copies than the rate's floor
+    or one more, a rate above the cap, an uncapped source whose expected tokens miss its share of what is reached by more than 1 in 10^9."""
+    sizes, rate = _rated(spark, folder)
+    documents = table(spark, folder, "documents").where(F.col("text").isNotNull())
+    copies = mixed(documents, "doc_id", "source", rate, []).groupBy("source", "doc_id").agg(F.count("*").alias("copies"))
+    rated = sizes.join(F.broadcast(rate.select("source", "rate")), "source").join(copies, ["source", "doc_id"], "left")  # a row a source
+    wrong = F.count_if(~F.coalesce("copies", F.lit(0)).isin(0) & ~F.col("copies").between(F.floor("rate"), F.floor("rate") + 1) | F.col("copies").isNull() & (F.col("rate") >= 1))
+    each = rated.groupBy("source").agg(F.count("*").alias("own"), wrong.alias("wrong_copies"))
+    expected = F.col("rate") * F.col("tokens")
+    ratio = F.when((F.col("target_share") > 0) & (F.col("tokens") > 0) & ~F.col("capped"), expected / F.col("target_share"))
+    spread = rate.agg(F.min(ratio).alias("low"), F.max(ratio).alias("high"))
+    off = (F.col("high") > F.col("low") * (1 + 1e-9)).cast("int")
+    out = rate.join(each, "source", "left").join(F.broadcast(spread))  # one row
+    zero = lambda c, kind: F.coalesce(c, F.lit(0)).cast(kind)
+    return out.select("source", F.col("documents"), zero("wrong_copies", "long").alias("wrong_copies"), (F.col("rate") > F.col("max_repeats")).cast("int").alias("over_cap"), zero(off, "int").alias("off_target"))
+
+
 def register(out: Registry) -> None:
     out.add("p8_pack")(p8_pack)
-    for kind in ("small", "large"):
-        out.add(f"p8_pack_{kind}")(partial(p8_pack, kind=kind))
     out.add("p8_filling")(p8_filling)
     out.add(
         "p8_invariants",
@@ -76,3 +92,4 @@ def register(out: Registry) -> None:
     )(p8_invariants)
     out.add("p9_mix")(p9_mix)
     out.add("p9_shares")(p9_shares)
+    out.add("p9_rules", "SELECT lower(trim(source)) source, count(DISTINCT doc_id) documents, 0::BIGINT wrong_copies, 0 over_cap, 0 off_target FROM source_mix LEFT JOIN (SELECT doc_id, lower(trim(source)) s FROM documents WHERE text IS NOT NULL) ON s = lower(trim(source)) GROUP BY 1")(p9_rules)
