@@ -109,7 +109,7 @@ _PHONE_LABEL = re.compile(r"(?:tel|tél|phone|call|fax|cell|mobile|landline|llam
 #: reaches beyond its first and last digit: prefixes are up to 4 signs, letters behind the last digit up to 35.
 _RUN = re.compile(r"\d+(?:[^\d\n]{1,24}\d+)*")
 _BEFORE_RUN, _BEHIND_RUN = 8, 48
-_DIGITS = re.compile(r"\d+")
+_DIGIT, _DIGITS = re.compile(r"\d"), re.compile(r"\d+")
 
 # --- addresses --------------------------------------------------------------
 _CAP = r"[^\W\d_][\w'’\-]*"
@@ -251,7 +251,7 @@ class Finder:
 
 
 def number_windows(text: str) -> list[tuple[int, int]]:
-    """The parts of a text that can hold numbers: every value that has a digit lies in one of them as a whole."""
+    """The parts of a text that can hold numbers: every value lies in one of them as a whole. No value has fewer than six digits, but behind a plus sign."""
     windows: list[tuple[int, int]] = []
     for m in _RUN.finditer(text):
         a, b = m.span()
@@ -259,7 +259,7 @@ def number_windows(text: str) -> list[tuple[int, int]]:
             windows[-1] = windows[-1][0], b + _BEHIND_RUN
         else:
             windows.append((max(0, a - _BEFORE_RUN), b + _BEHIND_RUN))
-    return windows
+    return [(a, b) for a, b in windows if len(_DIGIT.findall(text, a, b)) > 5 or text.find("+", a, b) >= 0]
 
 
 def checked_numbers(text: str, windows: list):
