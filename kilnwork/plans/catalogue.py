@@ -10,8 +10,8 @@ from kilnwork.plans.registry import Registry
 @cache
 def registry() -> Registry:
     out = Registry()
-    from kilnwork.plans import graphs, packed, ratings, relational, similarity, streams
+    from kilnwork.plans import formats, graphs, packed, ratings, relational, similarity, streams
 
-    for part in (relational, similarity, ratings, graphs, streams, packed):
+    for part in (relational, similarity, ratings, graphs, streams, packed, formats):
         part.register(out)
     return out
