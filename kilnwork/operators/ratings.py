@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kilnwork.operators.pairs import expanded, largest_groups
+from kilnwork.sources.staging import stage
 
 #: The fitted blend of the user-based and the item-based score (fixed values).
 BLEND = (1.52930944, 0.2414251, 0.3575569)
@@ -75,12 +76,18 @@ def correlation_of(pairs: DataFrame, rows: DataFrame, item: str, by: str, least:
 def neighbour_scores(pairs: DataFrame, rows: DataFrame, model: DataFrame, item: str, by: str, n: int) -> DataFrame:
     """user, business, score (stars, uncapped) from the n most similar items that the pair's rater rated; ties by the item.
 
-    The model joins first: a pair meets only its item's neighbours, not all that a busy rater rated.
+    A pair meets either its item's neighbours or what its rater rated, whichever is fewer: neither a popular item nor a busy rater
+    is expanded for the other's pairs.
     """
     both = model.select(F.col("a").alias(item), F.col("b").alias("near"), "sim").unionByName(model.select(F.col("b").alias(item), F.col("a").alias("near"), "sim"))
     rated = rows.select(by, F.col(item).alias("near"), "r")
     order = Window.partitionBy("user", "business").orderBy(F.desc("sim"), "near")
-    best = pairs.select("user", "business").join(both, item).join(rated, [by, "near"]).withColumn("k", F.row_number().over(order)).where(F.col("k") <= n)
+    degree = lambda d, c, name: d.groupBy(c).agg(F.count("*").alias(name))
+    sized = stage(pairs.select("user", "business").join(degree(both, item, "neighbours"), item).join(degree(rated, by, "rated"), by).select("user", "business", (F.col("neighbours") <= F.col("rated")).alias("few")), "pairs")
+    by_item = sized.where("few").join(both, item).join(rated, [by, "near"])
+    by_rater = sized.where("not few").join(rated, by).join(both, [item, "near"])
+    met = by_item.select("user", "business", "near", "sim", "r").unionByName(by_rater.select("user", "business", "near", "sim", "r"))
+    best = met.withColumn("k", F.row_number().over(order)).where(F.col("k") <= n)
     return best.groupBy("user", "business").agg((F.sum(F.col("r") * F.col("sim")) / F.sum(F.abs("sim")) / 100).alias("score"))
 
 

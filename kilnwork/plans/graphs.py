@@ -66,6 +66,10 @@ def register(out: Registry) -> None:
     def _(s, d):
         return G.connected_components(_edges(s, d))
 
+    @q("components_by_size", "WITH RECURSIVE " + _CC + " SELECT component, count(*) size, (row_number() OVER (PARTITION BY count(*) ORDER BY component))::INTEGER place FROM cc GROUP BY 1")
+    def _(s, d):
+        return G.sized(G.connected_components(_edges(s, d)))
+
     @q("bfs_levels", "WITH RECURSIVE " + _LV + " SELECT root, id, dist FROM lv")
     def _(s, d):
         return G.levels(_edges(s, d)).select("root", "id", "dist")

@@ -110,6 +110,10 @@ def register(out: Registry) -> None:
         log = X.written(lambda path: X.estimate_log(_stream(s, d), "ts", F.col("user_id").cast("string"), LENGTH, SLIDE, LATE, path), s, "log")
         return s.read.schema("`Time` string, `Ground Truth` long, `Estimation` long").option("header", True).csv(log).select("`Time`", "`Ground Truth`", "`Estimation`")
 
+    @q("stream_tracked", "SELECT doc_id FROM documents WHERE lang IN ('en', 'es') AND (contains(lower(text), 'refund') OR contains(lower(text), 'mesa'))")
+    def _(s, d):
+        return X.finished(X.tracked(X.table_stream(s, f"{d}/documents.parquet"), "text", "lang", ["refund", "mesa"], ["en", "es"]).select("doc_id"), "tracked")
+
     @q("stream_bloom", "WITH " + _BLOOM + " SELECT business_id, city, CASE WHEN coalesce(city, '') = '' THEN 0 ELSE member END member FROM business LEFT JOIN m USING (city)")
     def _(s, d):
         business = table(s, d, "business")

@@ -3,9 +3,11 @@
 import hashlib
 import math
 import random
+import socket
 import statistics
+import threading
 import time
-from collections import defaultdict
+from collections import Counter, defaultdict
 from datetime import timedelta
 from itertools import combinations
 
@@ -306,6 +308,28 @@ def test_stream_bloom_with_a_large_filter(spark, events, monkeypatch):
     assert X.finished(X.bloom_filtered(X.table_stream(spark, events), "user", bits, size), "b").orderBy("id").collect() == by_map
 
 
+def test_socket_lines(spark, tmp_path):
+    server = socket.create_server(("127.0.0.1", 0))
+
+    def serve():
+        peer, _ = server.accept()
+        with peer:
+            peer.sendall(b'{"city": "Baireville"}\n{"city": null}\nno json\n')
+            time.sleep(20)
+
+    threading.Thread(target=serve, daemon=True).start()
+    rows = X.json_lines(X.socket_lines(spark, "127.0.0.1", server.getsockname()[1]), "city string")
+    q = rows.writeStream.format("memory").queryName("socket_rows").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        until = time.time() + 60
+        while spark.table("socket_rows").count() < 3 and time.time() < until:
+            time.sleep(0.5)
+    finally:
+        q.stop()
+        server.close()
+    assert Counter(r["city"] for r in spark.table("socket_rows").collect()) == {"Baireville": 1, None: 2}
+
+
 def test_tracked_statuses(spark):
     df = spark.createDataFrame([("I like Python", "en"), ("python", "fr"), ("snakes", "en")], "text string, lang string")
     assert [r["text"] for r in X.tracked(df, "text", "lang", ["python"], ["en"]).collect()] == ["I like Python"]
