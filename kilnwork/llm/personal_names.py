@@ -27,12 +27,15 @@ _NAME_AT = re.compile(NAME)
 _NAME_END = re.compile(rf"(?<![\w'’\-@.])(?:{_PARTICLE}{_HYPHEN},{S}+{_HYPHEN}|{_INITIAL}{S}*(?:{_INITIAL}{S}*)?{_PARTICLE}{_HYPHEN}|{_HYPHEN}(?:{S}+(?:{_INITIAL}|{_PARTICLE}{_HYPHEN})){{0,3}}){S}+\Z")
 _LOWER_WORD = r"[a-zß-öø-ÿ][a-zß-öø-ÿ'’\-]+"
 _LOWER_AT = re.compile(rf"{_LOWER_WORD}(?:{S}+{_LOWER_WORD}){{0,3}}")
-_LOWER_END = re.compile(rf"(?:^|[\n\r,;:.!?(>]{S}*|{S}(?:and|y|et|und|&){S}+)(?P<name>{_LOWER_WORD}{S}+{_LOWER_WORD}){S}+\Z")
+_LOWER_END = re.compile(rf"(?:^|[\n\r,;:.!?(>\-]{S}*|{S}(?:and|y|et|und|&){S}+)(?P<name>{_LOWER_WORD}{S}+{_LOWER_WORD}){S}+\Z")
 _TITLE = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sr|Sra|Srta|Herr|Herrn|Frau|Mme|Mlle|Don|Doña|Monsieur|Madame|Señor|Señora)"
 _TITLES = re.compile(rf"(?i:{_TITLE})\b\.?{S}+(?:(?i:and|und|y|et|&){S}+(?i:{_TITLE})\b\.?{S}+)?")
 _GAP = re.compile(rf"{S}*[:=,]?{S}*[\"'“„«(]?{S}*")
 _BLANKS, _ROLE_GAP, _PARTICLES_END = re.compile(rf"{S}+"), re.compile(rf"{S}*\({S}*|{S}*[,:]?{S}+"), re.compile(rf"(?<!\w){_PARTICLE}\Z")
 _WORDS = re.compile(r"[^\s,]+")
+_LAST_WORD = re.compile(r"[\w'’.\-]+\Z")
+_SHOUTED = re.compile(rf"[,]?{S}+[{_U}]{{2,}}(?![{_L}])")
+_SMALL_PARTICLES = frozenset("de van von der den da di del la le al bin dos ten zu".split())
 _NEW_LINE = re.compile(rf"{S}*[,.!]?{S}*(?:(?:\r?\n|<br{S}*/?>)(?:{S}|>)*)+")
 
 #: Phrases behind which a name stands, in whatever spelling.
@@ -126,6 +129,10 @@ _ALONE = re.compile(
 )
 #: Nouns behind which a name only stands after a sign.
 _BARE = frozenset(("name", "nom", "nombre", "namen"))
+#: Given names that are small words, too: names if another word of the name follows.
+_BOTH = frozenset("may will april june august".split())
+#: Salutations, which are other words where they start small.
+_SALUTATIONS = frozenset("cher chère dear liebe lieber querido querida estimado estimada".split())
 _SIGNED = re.compile(r"signed|firmado|signé|unterzeichnet", re.I)
 _CALLED = re.compile(rf"called{S}+from\b|rief{S}+an\b|llamó{S}+desde\b|a{S}+appelé{S}+de\b", re.I)
 
@@ -196,7 +203,7 @@ class Names:
             if "l" in kinds:
                 for strength, pattern in _LEFT[word]:
                     m = pattern.match(text, at)
-                    if m:
+                    if m and not (word in _SALUTATIONS and text[at].islower()):
                         self._cue(text, at, m.end(), strength, best)
             if "r" in kinds and at > 1:
                 for _, pattern in _RIGHT[word]:
@@ -247,6 +254,7 @@ class Names:
         if m and not (m.end() < len(text) and (text[m.end()].isalnum() or text[m.end()] == "_")):
             around = text[cue:start]
             shouted = m[0].isupper() and sum(map(str.isalpha, around)) > 3 and around.isupper()
+            shouted = shouted or m[0].isupper() and strength == "weak" and _SHOUTED.match(text, m.end()) is not None
             if shouted and not any(w in self.given for w in re.split(r"[\s,\-]+", m[0].lower())):
                 return
             span = self._trimmed(text, start, m.end())
@@ -260,7 +268,10 @@ class Names:
             return
         words, end = [], start
         for w in re.finditer(_LOWER_WORD, m[0]):
-            if (w[0] in NO_NAME or w[0] in _VERB_WORDS) and not (w[0] in self.known_words and (words or w[0] in self.given)) or len(words) == 3:
+            bare = w[0][2:] if w[0][1:2] in ("'", "’") else w[0]
+            if (bare in NO_NAME or w[0] in _VERB_WORDS) and not (w[0] in self.known_words and (words or w[0] in self.given) or not words and w[0] in _BOTH) or len(words) == 3:
+                break
+            if len(words) == 2 and words[1] not in _SMALL_PARTICLES:
                 break
             words.append(w[0])
             end = start + w.end()
@@ -284,14 +295,16 @@ class Names:
             if text[start] in " \t " and text[start - 1] not in " \t ":
                 words += 1
         part = text[start:at]
-        last = (part.split() or [""])[-1]
+        last = _LAST_WORD.search(part.rstrip())
         if not last:
             return
+        last = last[0]
         if not last[0].isupper() and not last.startswith(("al-", "d'", "d’")):
             m = _LOWER_END.search(part) if last.islower() else None
             if m:
                 words = m["name"].split()
-                if words[0].split("-")[0] in self.given or words[-1] in self.known_words and words[0] not in NO_NAME or _CALLED.match(text, at) and not any(w in NO_NAME or w in _VERB_WORDS for w in words):
+                sure = _CALLED.match(text, at) or _ALONE.match(text, at) and _AND.search(part[: m.start("name")])
+                if words[0].split("-")[0] in self.given or words[-1] in self.known_words and words[0] not in NO_NAME or sure and self._unknown(words):
                     best[2].append((start + m.start("name"), start + m.end("name")))
             return
         m, paired = _NAME_END.search(part), False
@@ -304,11 +317,19 @@ class Names:
                 return
             one = not self._two_parts(value)
             both = _AND.search(text[start : span[0]])
-            if one and not (_ALONE.match(text, at) and (value.split("-")[0].lower() in self.given or value.endswith(".") or both or paired)):
+            if one and not (_CALLED.match(text, at) or _ALONE.match(text, at) and (value.split("-")[0].lower() in self.given or value.endswith(".") or both or paired)):
                 return
             best[1].append(span)
             paired = True
-            m = _NAME_END.search(part[: both.start()] + " ") if both else None
+            before = part[: both.start()] + " " if both else ""
+            m = _NAME_END.search(before)
+            small = _LOWER_END.search(before) if not m and _ALONE.match(text, at) else None
+            if small and self._unknown(small["name"].split()):
+                best[2].append((start + small.start("name"), start + small.end("name")))
+
+    def _unknown(self, words: list[str]) -> bool:
+        """Whether none of the words, in small letters, is a common one."""
+        return not any(w in NO_NAME and not (i == 0 and w in _BOTH) or w in _VERB_WORDS for i, w in enumerate(words))
 
     def _known(self, text: str, at: int, best: list) -> None:
         if at and text[at - 1] in "@/_.'’-":
@@ -341,9 +362,10 @@ class Names:
     def _trimmed(self, text: str, start: int, end: int, leading: bool = False) -> tuple[int, int] | None:
         """The span without words at its end (and, leading, at its start) that aren't names; None if nothing is left."""
         words = [(m.start(), m.end(), m[0]) for m in _WORDS.finditer(text, start, end)]
-        while leading and len(words) > 1 and self._no(words[0][2]):
+        both = lambda: len(words) > 1 and words[0][2].lower() in _BOTH and not self._no(words[-1][2])
+        while leading and len(words) > 1 and self._no(words[0][2]) and not both():
             words.pop(0)
-        if not words or self._no(words[0][2]):
+        if not words or self._no(words[0][2]) and not both():
             return None
         while len(words) > 1 and self._no(words[-1][2]):
             words.pop()
