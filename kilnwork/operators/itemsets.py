@@ -47,9 +47,11 @@ def _baskets_of(rows: DataFrame, sets: DataFrame, size: int) -> DataFrame:
     return found.select("items", "basket")
 
 
-def frequent_itemsets(rows: DataFrame, support: int, least: Column | None = None) -> DataFrame:
+def frequent_itemsets(rows: DataFrame, support: int, least: Column | None = None, up_to: int | None = None) -> DataFrame:
     """items (sorted array), size, n of all itemsets in at least `support` baskets, of every size: levels grow until one is empty.
 
+    up_to: the size beyond which none are asked for.
+
     From pairs on each level keeps the baskets of its sets, in which a candidate's further item is looked for, so a level takes one join with
     the baskets. least: further bound of n that depends on the column items, for which every subset of a set that reaches it must
     reach it, too.
@@ -60,7 +62,7 @@ def frequent_itemsets(rows: DataFrame, support: int, least: Column | None = None
     kept = rows.join(levels[0].select(F.col("items")[0].alias("item")), "item", "left_semi")
     levels.append(stage(enough(frequent_pairs(kept, support).select(F.array("a", "b").alias("items"), "n")), "pairs"))
     held = None
-    while levels[-1].limit(1).count():
+    while (up_to is None or len(levels) < up_to) and levels[-1].limit(1).count():
         if held is None:
             kept = stage(rows.join(levels[-1].select(F.explode("items").alias("item")).distinct(), "item", "left_semi"), "kept")
             held = _baskets_of(kept, levels[-1].select("items"), 2)

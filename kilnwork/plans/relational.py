@@ -139,7 +139,7 @@ def register(out: Registry) -> None:
 
         @q(f"frequent_itemsets_{size}", _ITEMSETS + f" SELECT * FROM sets WHERE size = {size}")
         def _(s, d, size=size):
-            return _joined(I.frequent_itemsets(R.baskets(table(s, d, "ub_sample_data"), 1), SUPPORT).where(F.col("size") == size))
+            return _joined(I.frequent_itemsets(R.baskets(table(s, d, "ub_sample_data"), 1), SUPPORT, up_to=size).where(F.col("size") == size))
 
     larger = "larger AS (SELECT * FROM ub WHERE basket IN (SELECT basket FROM ub GROUP BY 1 HAVING count(*) > 10))"
 
