@@ -196,7 +196,7 @@ def similar_sets(df: DataFrame, record: str, token: str, threshold: float | Frac
     """All pairs of sets with Jaccard similarity >= threshold (0 < threshold <= 1, taken as it is written), as classes of equal sets.
 
     Returns (pairs, members). pairs: r1 < r2 (the classes' representatives), common, size1, size2 (long). members: record,
-    representative, size; the representative is the least record of a class. Records of one class are similar pairwise, too, and
+    representative, size, copies (records of its class); the representative is the least record of a class. Records of one class are similar pairwise, too, and
     have no row in pairs. Rows with a null or empty record or token don't count, repeated rows count once, sets of fewer than
     min_size tokens don't take part; an empty table has no rows. Other columns are not read.
     """
@@ -278,8 +278,8 @@ def _similar(rows: DataFrame, threshold: float | Fraction, min_size: int, giant:
     )
     similar = F.col("common") * q >= p * (F.col("size1") + F.col("size2") - F.col("common"))
     pairs = verified.where(similar)
-    members = classes.select(F.explode("records").alias("m"), F.col("id").alias("representative"), F.size("tokens").cast("long").alias("size")).select("m.record", "representative", "size", "m.sides")
-    own = lambda d: d.select("record", F.col("record").alias("representative"), "size", "sides")
+    members = classes.select(F.explode("records").alias("m"), F.col("id").alias("representative"), F.size("tokens").cast("long").alias("size"), F.size("records").alias("copies")).select("m.record", "representative", "size", "copies", "m.sides")
+    own = lambda d: d.select("record", F.col("record").alias("representative"), "size", F.lit(1).alias("copies"), "sides")
     if longest > giant:
         # a set within the bound stands for its class: pairs of a giant with the others of a class follow from the representative's
         big = classes.select(F.col("id").alias("record"), "sides", F.size("tokens").cast("long").alias("size")).unionByName(fitting.where(F.col("size") > giant))
@@ -304,9 +304,5 @@ def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
         pairs.select("r1", "r2").join(m.select(F.col("record").alias("a"), F.col("representative").alias("r1")), "r1")
         .join(m.select(F.col("record").alias("b"), F.col("representative").alias("r2")), "r2").select("a", "b")
     )
-    copies = m.where(F.col("record") != F.col("representative"))
-    shared = stage(m.join(copies.select("representative").distinct(), "representative", "left_semi"), "copies")
-    if not shared.limit(1).count():
-        return between.select(F.least("a", "b").alias("r1"), F.greatest("a", "b").alias("r2"))
-    within = expanded_groups(shared.select(F.col("representative").alias("g"), F.struct("record").alias("p"))).select(F.col("p.record").alias("a"), F.col("q.record").alias("b"))
+    within = expanded_groups(members.where("copies > 1").select(F.col("representative").alias("g"), F.struct("record").alias("p"))).select(F.col("p.record").alias("a"), F.col("q.record").alias("b"))
     return between.unionByName(within).select(F.least("a", "b").alias("r1"), F.greatest("a", "b").alias("r2"))
