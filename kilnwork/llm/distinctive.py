@@ -116,7 +116,10 @@ def _swept(weight: float, total: int, vocabulary, min_in_parts: int, min_parts:
 
 
 def _swept_sorted(weight: float, total: int, min_in_parts: int, min_parts: int):
-    """The same sweeps over rows (record, term, n, in_parts, records, occurrences, parts) that stand together by record."""
+    """The same sweeps over rows (id, record, term, n, in_parts, records, occurrences, parts) that stand together by id.
+
+    The first row of an id has the record's name and counts of 0, the others have no name.
+    """
 
     def rows_of(t: pa.Table, start: np.ndarray) -> pa.RecordBatch | None:
         n, in_parts, records, occurrences, parts = (t[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("n", "in_parts", "records", "occurrences", "parts"))
@@ -124,12 +127,12 @@ def _swept_sorted(weight: float, total: int, min_in_parts: int, min_parts: int):
         record = np.repeat(np.arange(len(start)), size)
         p = solve(n.astype(float), occurrences / total, record, len(start), weight)
         most = np.maximum.reduceat(n, start)[record]
-        keep = np.flatnonzero((in_parts >= min_in_parts) & (parts >= min_parts))
+        keep = np.flatnonzero((in_parts >= max(min_in_parts, 1)) & (parts >= min_parts))
         if not len(keep):
             return None
-        head = t.select(["record", "term"]).take(pa.array(keep)).combine_chunks()
+        of = t["record"].combine_chunks().take(pa.array(start[record[keep]]))
         return pa.RecordBatch.from_arrays(
-            [head["record"].combine_chunks(), head["term"].combine_chunks(), *map(pa.array, (n[keep], in_parts[keep], records[keep], most[keep], parts[keep], p[keep]))],
+            [of, t["term"].combine_chunks().take(pa.array(keep)), *map(pa.array, (n[keep], in_parts[keep], records[keep], most[keep], parts[keep], p[keep]))],
             names=["record", "term", "n", "in_parts", "records", "most", "parts", "p"],
         )
 
@@ -138,13 +141,13 @@ def _swept_sorted(weight: float, total: int, min_in_parts: int, min_parts: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            code = b.column("record").dictionary_encode().indices.to_numpy(zero_copy_only=False)
-            if held and b.column("record")[0] == held[-1].column("record")[held[-1].num_rows - 1] and code[-1] == code[0]:
+            ids = b.column("id").to_numpy(zero_copy_only=False)
+            if held and ids[0] == ids[-1] == held[-1].column("id")[0].as_py():
                 held.append(b)  # all of one record: no need to look at it again
                 continue
             t = pa.Table.from_batches([*held, b])
-            record = t["record"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-            start = np.flatnonzero(np.r_[True, record[1:] != record[:-1]])
+            ids = t["id"].to_numpy()
+            start = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
             last = int(start[-1])
             held = t.slice(last).to_batches()
             if last and (out := rows_of(t.slice(0, last), start[:-1])) is not None:
@@ -195,7 +198,8 @@ def distinctive_terms(
     salted = salted.withColumn("salt", F.pmod(F.xxhash64("part"), F.coalesce("salts", F.lit(1))).cast("int")).withColumn("hot", F.col("salts").isNotNull()).drop("salts")
     each = one_each(salted, ["order"], "part", ["record", "salt"]).select("record", "salt", "hot", terms(F.col("text"), stop).alias("terms"))
     documents = stage(
-        each.mapInArrow(_documents, "record string, salt int, hot boolean, parts long, term array<string>, n array<long>, in_parts array<long>"), "documents"
+        each.mapInArrow(_documents, "record string, salt int, hot boolean, parts long, term array<string>, n array<long>, in_parts array<long>")
+        .withColumn("id", F.monotonically_increasing_id()), "documents"
     )
     cold = documents.where("not hot")
     flat = lambda d: d.select("record", "parts", F.explode(F.arrays_zip("term", "n", "in_parts")).alias("t")).select("record", "parts", "t.*")
@@ -218,8 +222,14 @@ def distinctive_terms(
         model = spark.sparkContext.broadcast((t["term"].combine_chunks().cast(pa.string()), t["occurrences"].to_numpy(), t["records"].to_numpy()))
         out = cold.mapInArrow(_swept(weight, total, model, min_in_parts, min_parts), OUT)
     else:
-        known = flat(cold).join(vocabulary, "term").select("record", "term", "n", "in_parts", "records", "occurrences", "parts")
-        out = known.repartition("record").sortWithinPartitions("record").mapInArrow(_swept_sorted(weight, total, min_in_parts, min_parts), OUT)
+        # a number stands for the record's name, which goes along once, in a first row
+        each_term = cold.select("id", "parts", F.explode(F.arrays_zip("term", "n", "in_parts")).alias("t")).select("id", "parts", "t.*")
+        order = ("id", "record", "term", "n", "in_parts", "records", "occurrences", "parts")
+        known = each_term.join(vocabulary, "term").withColumn("record", F.lit(None).cast("string")).select(*order)
+        none = F.lit(0).cast("long")
+        heads = cold.where(F.size("term") > 0).select("id", "record", F.lit(None).cast("string").alias("term"), *[none.alias(c) for c in ("n", "in_parts", "records", "occurrences")], "parts")
+        rows_by_id = known.unionByName(heads).repartition("id").sortWithinPartitions("id", F.col("record").isNull())
+        out = rows_by_id.mapInArrow(_swept_sorted(weight, total, min_in_parts, min_parts), OUT)
     if merged is not None:
         joined = stage(merged.join(small(vocabulary, size, limit), "term"), "background")
         most = joined.groupBy("record").agg(F.max("n").alias("most"))
