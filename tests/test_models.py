@@ -169,6 +169,24 @@ def test_split_goes_on_until_no_edge_is_left(spark, monkeypatch):
     assert sorted(map(tuple, query(spark, "").collect())) == local
 
 
+def test_betweenness_of_a_held_graph_writes_no_levels(spark, monkeypatch):
+    """Roots are shared out where the graph fits a task; the joins that larger graphs take give the same."""
+    draw = random.Random(8)
+    pairs = {tuple(sorted(draw.sample(range(10, 70), 2))) for _ in range(90)} | {(70, 71), (71, 72), (80, 81)}
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in pairs], "a string, b string")
+    values = lambda: {(r["a"], r["b"]): r["betweenness"] for r in G.betweenness(edges).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(G, "levels", None)
+        held = values()
+    near = defaultdict(set)
+    for a, b in pairs:
+        near[f"n{a}"].add(f"n{b}")
+        near[f"n{b}"].add(f"n{a}")
+    assert held == pytest.approx(G.local_betweenness(near))
+    monkeypatch.setattr(G, "HELD_EDGES", 0)
+    assert values() == pytest.approx(held)
+
+
 def test_betweenness_by_blocks():
     draw, near = random.Random(4), {}
     for _ in range(300):
