@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kilnwork.operators import itemsets as I
 from kilnwork.operators import relational as R
 from kilnwork.plans.registry import Registry
+from kilnwork.sources.staging import stage
 from kilnwork.sources.tables import table
 
 SUPPORT = 8
@@ -177,5 +178,5 @@ def register(out: Registry) -> None:
 
     @q("miner_intersection", _ITEMSETS + ' SELECT count(*) AS "first", count(*) AS "second", count(*) AS "both" FROM sets')
     def _(s, d):
-        rows = R.baskets(table(s, d, "ub_sample_data"), 1)
+        rows = stage(R.baskets(table(s, d, "ub_sample_data"), 1), "baskets")
         return I.agreement(I.frequent_itemsets(rows, SUPPORT), I.fp_growth(rows, SUPPORT))

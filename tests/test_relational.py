@@ -101,6 +101,26 @@ def test_itemsets_of_every_size(spark, rows):
         assert rows(I.partitioned_itemsets(df, 3, chunks), "items", "size", "n") == got
 
 
+def test_fp_growth_takes_frequent_pairs_not_whole_baskets(spark, rows, monkeypatch):
+    """Large baskets of frequent items with few frequent pairs: the model gets those only, and the itemsets are whole."""
+    import random
+
+    from pyspark.ml.fpm import FPGrowth
+
+    draw, seen, fit = random.Random(2), [], FPGrowth.fit
+    baskets = [{*draw.sample(range(1000), 200)} | ({2000, 2001, 2002} if i < 5 else {2000 + i % 3}) for i in range(30)]
+    df = spark.createDataFrame([(f"k{i}", f"i{x}") for i, b in enumerate(baskets) for x in b], "basket string, item string")
+
+    def spied(self, data):
+        seen.append(max(len(r["items"]) for r in data.collect()))
+        return fit(self, data)
+
+    monkeypatch.setattr(FPGrowth, "fit", spied)
+    got = rows(I.fp_growth(df, 5), "items", "size", "n")
+    assert got == rows(I.frequent_itemsets(df, 5), "items", "size", "n") and (["i2000", "i2001", "i2002"], 3, 5) in got
+    assert seen[0] < 100
+
+
 def test_common_counts_with_large_groups(spark, rows):
     """Groups of over a thousand items, masked and blockwise, against brute force."""
     import random
@@ -115,6 +135,25 @@ def test_common_counts_with_large_groups(spark, rows):
         assert rows(common_counts(df, "g", "x", least)) == sorted((*p, n) for p, n in brute.items() if n >= least)
 
 
+def test_pairs_counted_where_the_rows_are_held(spark, rows, monkeypatch):
+    """No pair is shuffled; the same counts as by blocks, with large groups or without."""
+    import random
+
+    from kilnwork.operators import pairs
+
+    draw = random.Random(5)
+    groups = {f"g{i}": draw.sample(range(300), 250 if i < 3 else 30) for i in range(40)}
+    df = spark.createDataFrame([(g, f"x{x}") for g, v in groups.items() for x in v], "g string, x string")
+    for least in (1, 2, 5, 9):
+        want = rows(common_counts(df, "g", "x", least))
+        with monkeypatch.context() as m:
+            m.setattr(pairs, "common_counts", None)
+            assert rows(pairs.held_common_counts(df, "g", "x", least)) == want
+        with monkeypatch.context() as m:
+            m.setattr(pairs, "HELD_ROWS", 0)
+            assert rows(pairs.held_common_counts(df, "g", "x", least)) == want
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "basket string, item string")
     assert I.frequent_itemsets(empty, 2).collect() == []
