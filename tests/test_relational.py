@@ -135,6 +135,22 @@ def test_common_counts_with_large_groups(spark, rows):
         assert rows(common_counts(df, "g", "x", least)) == sorted((*p, n) for p, n in brute.items() if n >= least)
 
 
+def test_candidates_of_an_item_in_all_pairs_are_few(spark, rows, monkeypatch):
+    """An item that is frequent with 60 others, which aren't among each other, must not be the prefix of 1,770 candidates."""
+    data = [(f"k{i}_{j}", x) for i in range(60) for j in range(3) for x in ("!hot", f"x{i:02}")]
+    df = spark.createDataFrame(data, "basket string, item string")
+    seen, made = [], I._candidates
+
+    def spied(sets, size):
+        pairs = sets.groupBy(F.slice("items", 1, size - 1)).agg(F.count("*").alias("n"))
+        seen.append(pairs.agg(F.max("n")).first()[0])
+        return made(sets, size)
+
+    monkeypatch.setattr(I, "_candidates", spied)
+    assert len(rows(I.frequent_itemsets(df, 3), "items", "size", "n")) == 121
+    assert seen == [1]
+
+
 def test_pairs_counted_where_the_rows_are_held(spark, rows, monkeypatch):
     """No pair is shuffled; the same counts as by blocks, with large groups or without."""
     import random
