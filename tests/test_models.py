@@ -169,6 +169,43 @@ def test_split_goes_on_until_no_edge_is_left(spark, monkeypatch):
     assert sorted(map(tuple, query(spark, "").collect())) == local
 
 
+def test_split_of_a_larger_graph_shares_out_its_roots(spark, monkeypatch):
+    """No round is written; components that are large, small, trees or hung with trees come out as in one task, and as by joins."""
+    draw = random.Random(3)
+    pairs = {tuple(sorted(draw.sample(range(10, 22), 2))) for _ in range(16)} | {(i, i + 20) for i in range(12, 20)} | {(32, 52), (52, 53), (60, 61), (61, 62), (70, 71)}
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in pairs], "a string, b string")
+    split = lambda: sorted(map(tuple, G.girvan_newman(edges).collect()))
+    local = split()
+    monkeypatch.setattr(G, "LOCAL_WORK", 0)
+    for work in (0, 60, 10**9):
+        with monkeypatch.context() as m:
+            m.setattr(G, "betweenness", None)
+            m.setattr(G, "SHARED_WORK", work)
+            assert split() == local
+
+
+def test_distributed_rounds_leave_no_tables_of_rounds_before(spark, monkeypatch, tmp_path):
+    edges = spark.createDataFrame(BRIDGE, "a string, b string")
+    local = sorted(map(tuple, G.girvan_newman(edges).collect()))
+    monkeypatch.setattr(G, "LOCAL_WORK", 0)
+    monkeypatch.setattr(G, "SPLIT_EDGES", 0)
+    monkeypatch.setattr("kilnwork.sources.staging.shared_dir", lambda spark: str(tmp_path))
+    assert sorted(map(tuple, G.girvan_newman(edges).collect())) == local
+    names = [p.name.split("-")[0] for p in (tmp_path / "staged").iterdir()]
+    assert names.count("parts") == 1 and not names.count("betweenness") and not names.count("components")
+
+
+def test_shared_betweenness(spark):
+    draw, near = random.Random(6), defaultdict(set)
+    pairs = [(i, draw.randrange(i)) for i in range(1, 60)] + [draw.sample(range(25), 2) for _ in range(25)]
+    for x, y in pairs:
+        near[x].add(y)
+        near[y].add(x)
+    assert G.shared_betweenness(spark, near) == pytest.approx(G.local_betweenness(near))
+    for tree in ({0: {1}, 1: {0}}, {0: {1}, 1: {0, 2}, 2: {1, 3}, 3: {2}}):
+        assert G.shared_betweenness(spark, tree) == G.local_betweenness(tree)
+
+
 def test_betweenness_of_a_held_graph_writes_no_levels(spark, monkeypatch):
     """Roots are shared out where the graph fits a task; the joins that larger graphs take give the same."""
     draw = random.Random(8)
